@@ -51,8 +51,9 @@ class Block:
         self.ends_of = np.cumsum(sizes + 1) - 1
         self.starts_of = self.ends_of - sizes
 
-    def find_words(self) -> None:
-        inside = ~SPACE[self.data]
+    def find_words(self, apart: np.ndarray = SPACE) -> None:
+        """Words are runs of bytes that ``apart`` (which must have the line feed) doesn't set apart."""
+        inside = ~apart[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside.size and inside[0]:
             edge = np.concatenate(([0], edge))
