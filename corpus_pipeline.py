@@ -1,20 +1,58 @@
-"""The corpus pipeline: five stages over ``documents``, each one of the operators."""
+"""The corpus pipeline: five stages over ``documents``, each one of the operators.
+
+Every stage but the last returns the columns of documents. ``run`` applies them
+in memory; a driver may as well write each stage's rows and read them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from linkloom.llm import packing, quality
-from linkloom.llm.queries import WORD_BPE, _tokenizer
+from linkloom.llm import near_dedup, packing, quality, secret_scan, substring_dedup
+from linkloom.llm.queries import WORD_BPE, _table, _tokenizer
+from linkloom.llm.runtime import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep(docs, _table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the least doc_id."""
+    return near_dedup.without_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds go from the texts."""
+    return substring_dedup.deduplicate(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, placed in sequences."""
+    return packing.pack_documents(docs, _tokenizer(WORD_BPE))
+
 
-STAGES = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("secrets", secrets),
+    ("packing", packed),
+]
 
+#: The stages train models and tokenise, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what a stage returns is written and read again, as the next reads it more than once."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

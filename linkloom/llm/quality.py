@@ -169,6 +169,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return Classifier.fit(rows.column("text").to_pylist(), (y > 0).astype(float))
 
 
+def _verdict(b: K.Block, model: Classifier | None, least: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, whether the base rule fails, the probability, and whether each text of a block is kept."""
+    c = base_counts(b)
+    failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED_PERCENT * c["n_words"])
+    p = model.probability(ngram_buckets(b)) if model else np.ones(b.n)
+    return c, failed, p, ~failed & (p >= least)
+
+
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base counts, base_failed and the calibrated probability."""
 
@@ -176,10 +184,7 @@ def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
         for batch in K.small_batches(batches, "text"):
             texts = K.column(batch, "text")
             for first, b in K.blocks(texts):
-                c = base_counts(b)
-                n = c["n_words"]
-                failed = (n < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED_PERCENT * n)
-                p = model.probability(ngram_buckets(b)) if model else np.ones(b.n)
+                c, failed, p, _ = _verdict(b, model, LEAST_PROBABILITY)
                 ids = batch.column(0).slice(first, b.n)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(p.astype(float))], names=[f.split()[0] for f in re.split(", ", FEATURES_SCHEMA)])
 
@@ -189,3 +194,16 @@ def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY) -> DataFrame:
     """``score`` with a classifier trained on ``labels``, and ``kept``: not base_failed and probability >= ``least``."""
     return score(docs, train(docs, labels)).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= least))
+
+
+def keep(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, whole and unchanged, without a shuffle of texts."""
+    model = train(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in K.small_batches(batches, "text"):
+            kept = [_verdict(b, model, least)[-1] for _, b in K.blocks(batch.column(at).to_pylist())]
+            yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language, packing, quality, secret_scan, sharding, token_counts, topk
+from . import bpe_codec, language, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, token_counts, topk
 
 BYTE_BPE, WORD_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", "word_bpe_49k.json", 50256
 
@@ -22,6 +22,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_BPE))
 
@@ -50,13 +54,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(WORD_BPE))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator's query by its name."""
-    return {f.__name__: f for f in (op2_bpe_codec, op3_secret_scan, op4_jump_sharding, op5_quality_rules, op6_bit_sliced_topk, op7_token_counts, op8_language_id, op10_packing)}
+    every = (op1_near_dedup, op2_bpe_codec, op3_secret_scan, op4_jump_sharding, op5_quality_rules, op6_bit_sliced_topk, op7_token_counts, op8_language_id, op9_substring_dedup, op10_packing)
+    return {f.__name__: f for f in every}
 
 
 OP6_SQL = """
