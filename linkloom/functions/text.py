@@ -33,6 +33,10 @@ def looked_up(table: dict[str, str], c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
 
 
+def lookup(table: dict[str, str]):
+    return lambda w: looked_up(table, w)
+
+
 def literals(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -252,6 +256,10 @@ def address_parts(norm: Column) -> Column:
     return F.struct(pc.alias("pc"), F.regexp_extract(t, fixed.UNIT, 1).alias("unit"), house.alias("house"), F.when(by_code, coded).otherwise(said).alias("arr"))
 
 
+def _value_in(table: Column):
+    return lambda w: F.try_element_at(table, w)
+
+
 def region_key(country: Column, norm: Column, gazetteer=None, phrases: dict[str, str] | None = None) -> Column:
     """The one region that an address's words name; "" if none, several, or the country has no gazetteer.
 
@@ -264,7 +272,7 @@ def region_key(country: Column, norm: Column, gazetteer=None, phrases: dict[str,
     for label in sorted({c for c, _, _ in rows}):
         table = F.create_map(*[F.lit(x) for c, r, w in rows if c == label for x in (w, r)])
         where = F.concat(F.slice(words, -F.least(F.size(words), F.lit(3)), 3), F.slice(words, 1, 2)) if label == "US" else words
-        found = F.transform(F.when(F.size(words) > 0, where).otherwise(words), lambda w, t=table: F.try_element_at(t, w))
+        found = F.transform(F.when(F.size(words) > 0, where).otherwise(words), _value_in(table))
         if label == "US":
             found = F.concat(found, F.array(*[F.when(text(norm).rlike(rf"(?<!\S)(?:{p})(?!\S)"), F.lit(r)) for r, p in phrases.items()]))
         regions = F.array_distinct(F.array_compact(found))
