@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 
@@ -39,13 +40,13 @@ def similarity(a: Column, b: Column, *names: str, scorers=None) -> Column:
     return run(a, b)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_latin(x: pd.Series) -> pd.Series:
     """Romanise every script."""
     return x.map(kernels.to_latin)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_trade_name(x: pd.Series, y: pd.Series) -> pd.Series:
     """The best token-set score of any two trade names, if either side has several; else null."""
     out = []
