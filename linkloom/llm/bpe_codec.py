@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .runtime import bounded
 from .tokenizers_io import byte_bpe
 
 #: Chunks have about 2 ** CHUNK_BITS bytes.
@@ -128,7 +129,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in K.small_batches(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode(K.column(batch, "text")), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
@@ -162,4 +163,4 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 names=[f.split()[0] for f in DIGEST_SCHEMA.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST_SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, DIGEST_SCHEMA)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import unit
+from .runtime import bounded, unit
 
 BITS = 12
 CENTROIDS = 3
@@ -120,7 +120,7 @@ def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
                     accepted = ok & (score >= model.least[near]) if model else ok
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at + first, b.n), pa.array(langs, pa.string()), pa.array(score.astype(float)), pa.array(accepted)], names=[f.split()[0] for f in PREDICTED_SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED_SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PREDICTED_SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:

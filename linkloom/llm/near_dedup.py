@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .runtime import skew_lookup, written
+from .runtime import bounded, skew_lookup, written
 
 WORDS = 5
 PERCENT = 75
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH) -> DataFra
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in short]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(short) if short else np.zeros(0, np.int64)))], names=["doc_id", "n_shingles", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED_SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SIGNED_SCHEMA)
 
 
 def runs_of(classes: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFram
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["node", "values"])
 
-    return rows.mapInArrow(run, "node long, values array<long>")
+    return bounded(rows).mapInArrow(run, "node long, values array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

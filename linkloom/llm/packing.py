@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .runtime import bounded
 from .tokenizers_io import word_bpe
 
 CAPACITY = 4096
@@ -86,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, closing_id: int = 2, capacity: int =
                     out.append((doc, start, len(part) // 4, zlib.crc32(part), n, place))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names), names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES_SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES_SCHEMA)
 
 
 def pack(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import unit
+from .runtime import bounded, unit
 
 BITS = 16
 #: The bound of the labelled sample.
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
                 ids = batch.column(0).slice(first, b.n)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(p.astype(float))], names=[f.split()[0] for f in re.split(", ", FEATURES_SCHEMA)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES_SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, FEATURES_SCHEMA)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY) -> DataFrame:
@@ -208,4 +208,4 @@ def keep(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY) -
             kept = [_verdict(b, model, least)[-1] for _, b in K.blocks(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -30,6 +30,18 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, so that a Python worker never holds many long texts at once.
+BATCH_BYTES = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches bounded by bytes unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, "67108864b") in ("67108864b", "64m", "64MB"):
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df
+
+
 #: A key is hot when it has this share of the rows at least, so there are at
 #: most 1 / HOT_SHARE hot keys: the proven bound of what is broadcast.
 HOT_SHARE = 1e-3

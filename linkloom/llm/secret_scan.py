@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import unit
+from .runtime import bounded, unit
 
 #: The patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -357,7 +357,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
             base = [hashlib.sha256(written_spans(s, 3).encode()).hexdigest() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), count(0), count(1), count(2), pa.array(base, pa.string()), pa.array([written_spans(s) for s in found], pa.string()), count(3)], names=[f.split()[0] for f in SPANS_SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPANS_SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SPANS_SCHEMA)
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]") -> str:
@@ -390,4 +390,4 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 columns[place] = pa.array([n if t is None else len(t) for n, t in zip(columns[place].to_pylist(), new, strict=True)], columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)

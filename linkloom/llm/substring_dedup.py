@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .runtime import bounded, written
 
 CHUNK_BITS = 5
 LEAST_WORDS = 14
@@ -54,8 +55,6 @@ class Chunks:
         #: Number of the first chunk of each text.
         self.base = np.searchsorted(self.of, np.arange(b.n + 1))
         self.pos = np.arange(len(first)) - self.base[self.of]
-        # a text's whole bytes, for rows that repeat a doc_id with another text
-        self.mark = (b.hashes(b.starts_of, b.ends_of) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _grouped(doc, mark, pos, earlier) -> pa.RecordBatch:
@@ -78,6 +77,11 @@ def _repeats(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[new], (rest[order], kept["doc"][order])
 
 
+def _mark():
+    """32 bits of a text, for rows that repeat a doc_id with another text."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, mark, pos, earlier): per document the numbers of its repeated chunks and a document before it that holds each."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -86,12 +90,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def local(batches):
         for batch in K.small_batches(batches, "text"):
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            ids, marks = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(2).to_numpy()
             parts = []
             for at, b in K.blocks(K.column(batch, "text")):
                 c = Chunks(b)
                 p = np.zeros(len(c.first), PLACE)
-                p["digest"], p["doc"], p["mark"], p["pos"] = c.digest, ids[at : at + b.n][c.of], c.mark[c.of], c.pos
+                p["digest"], p["doc"], p["mark"], p["pos"] = c.digest, ids[at : at + b.n][c.of], marks[at : at + b.n][c.of], c.pos
                 parts.append(p)
             if not parts:
                 continue
@@ -105,9 +109,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 found = _grouped(rest["doc"], rest["mark"], rest["pos"], earlier)
                 yield pa.RecordBatch.from_arrays([pa.nulls(found.num_rows, pa.int32()), pa.nulls(found.num_rows, pa.binary()), *found.columns], names=["bucket", "places", "doc", "mark", "pos", "earlier"])
 
-    from .runtime import written
-
-    sent = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(local, schema), "chunks")
+    sent = written(bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark())).mapInArrow(local, schema), "chunks")
 
     def across(batches):
         # the rows of a task are sorted by bucket; one bucket is held at a time
@@ -148,19 +150,7 @@ def removed_runs(c: Chunks, i: int, pos: np.ndarray, least: int) -> list[tuple[i
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns in a struct, its text's mark, and the places of its repeated chunks."""
     found = repeats(docs).groupBy("doc", "mark").agg(F.flatten(F.collect_list(F.arrays_zip("pos", "earlier"))).alias("repeated"))
-    mark_schema = "mark long"
-
-    @F.pandas_udf(mark_schema.split()[1])
-    def mark(text):
-        out = np.zeros(len(text), np.int64)
-        for at, b in K.blocks(text.tolist()):
-            b.prefix_hash()
-            out[at : at + b.n] = (b.hashes(b.starts_of, b.ends_of) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        import pandas as pd
-
-        return pd.Series(out)
-
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_doc"), F.col("text").alias("text"), mark("text").alias("_mark"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_doc"), F.col("text").alias("text"), _mark().alias("_mark"))
     return rows.join(found.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "repeated"), ["_doc", "_mark"], "left").select("row", "text", "repeated")
 
 
@@ -200,7 +190,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string())], names=[f.split()[0] for f in SPANS_SCHEMA.split(", ")])
 
     rows = _with_repeats(docs.select("doc_id", "text")).filter("repeated is not null")
-    return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "repeated").mapInArrow(run, SPANS_SCHEMA)
+    return bounded(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "repeated")).mapInArrow(run, SPANS_SCHEMA)
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -220,6 +210,6 @@ def deduplicate(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     joined = _with_repeats(docs)
     schema = f"row {docs.schema.simpleString()}, new string"
-    done = joined.mapInArrow(run, schema)
+    done = bounded(joined).mapInArrow(run, schema)
     changed = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNull(), F.col("row.n_chars")).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("new")}
     return done.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])

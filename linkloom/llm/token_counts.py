@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import written
+from .runtime import bounded, written
 from .tokenizers_io import byte_bpe
 
 BLOCK_TOKENS = 1 << 16
@@ -58,7 +58,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, eod: int, block_tokens: i
         if rest:
             yield row(file, block, rest, None, None)
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FILES_SCHEMA), "tokens", "zstd")
+    return written(bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, FILES_SCHEMA), "tokens", "zstd")
 
 
 def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
