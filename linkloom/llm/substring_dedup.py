@@ -48,7 +48,7 @@ class Chunks:
         at = np.concatenate([c + s for c, s in zip(cuts, b.starts_of, strict=True)]) if cuts else np.zeros(0, np.int64)
         first = np.unique(np.concatenate((heads, np.searchsorted(b.starts, at))))
         first = first[first < len(b.starts)]
-        self.first, self.last = first, np.append(first[1:], len(b.starts)) - 1
+        self.first, self.last = first, (np.append(first[1:], len(b.starts)) - 1)[: len(first)]
         self.of = np.searchsorted(b.words, first, "right") - 1
         self.digest = b.hashes(b.starts[self.first], b.ends[self.last])
         self.words = self.last - self.first + 1
