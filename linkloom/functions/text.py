@@ -200,6 +200,12 @@ def phonetic_key(norm: Column, style: str) -> Column:
     return joined(F.transform(tokens(norm), lambda w: F.when(w.rlike("[0-9]"), w).otherwise(_word_key(w, rules, final))))
 
 
+def loan_key(word: Column) -> Column:
+    """The key of a loanword's spelling: consonants by sound, vowels, y and h only at the beginning, doubled letters once."""
+    k = reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), fixed.rewrites(fixed.LOAN_KEY), text(word))
+    return _collapsed(F.concat(F.substring(k, 1, 1), F.regexp_replace(F.substring(k, 2, 1 << 20), "[aeiouyh]", "")))
+
+
 def split_trade_names(raw: Column) -> Column:
     """The names in a raw name that trade-name words or brackets part; the name itself if nothing else is left."""
     parts = F.transform(F.split(text(raw), "(?i)(?U)" + fixed.TRADE_NAME), lambda p: F.regexp_replace(p, r"^[ ,.\-]+|[ ,.\-]+$", ""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.udf import similarity, to_latin
-from ..operators import blocking, groups, mining, model, pairs, policy
+from ..operators import blocking, groups, judging, mining, model, pairs, policy
 from ..operators.prepare import Lexicon, prepare
 from ..sources import adapters, records
 from ..sources.stage import staged
@@ -822,6 +822,72 @@ def acceptance_rules(spark, sf_dir):
     return mining.accepted_swaps(rows).select("p_partkey", "verdict")
 
 
+# --- candidates for judging -----------------------------------------------------
+
+_VOCAB = f"v AS (SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM {_WORDS}) WHERE regexp_matches(token, '^[a-z]+$') GROUP BY 1)"
+
+
+def _vocab(spark, sf_dir):
+    return mining.vocabulary(_lower(spark, sf_dir), "t").filter(F.col("token").rlike("^[a-z]+$"))
+
+
+@query(f"WITH {_VOCAB} SELECT token, {S.loan_key('token')} AS key FROM v")
+def loan_keys(spark, sf_dir):
+    return _vocab(spark, sf_dir).select("token", X.loan_key(F.col("token")).alias("key"))
+
+
+@query(f"WITH v AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(w) AS token FROM {_WORDS}) GROUP BY ALL) SELECT lang, token, n FROM v WHERE regexp_matches(token, '^[a-z]{{2,}}$') QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) <= 50")
+def word_class_items(spark, sf_dir):
+    return judging.word_classes(mining.vocabulary(_lower(spark, sf_dir), "t", "lang"), 50, "lang")
+
+
+@query(
+    f"""WITH x AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM {_WORDS}), t AS (SELECT w[i] AS token, w, i FROM x WHERE w[i] IN {tuple(fixed.AMBIGUOUS)}),
+    s AS (SELECT token, 'left' AS side, w[i - 1] AS neighbour FROM t WHERE i > 1 UNION ALL SELECT token, 'right', w[i + 1] FROM t WHERE i < len(w)),
+    n AS (SELECT token, side, neighbour, count(*) AS n FROM s GROUP BY ALL), a AS (SELECT token, sum(n) AS n FROM n GROUP BY 1),
+    r AS (SELECT token, neighbour AS following, n FROM n WHERE side = 'right' AND n >= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC, neighbour) <= 6)
+    SELECT token, following, CAST(n AS BIGINT) AS n FROM r UNION ALL SELECT token, '', CAST(n AS BIGINT) FROM a"""
+)
+def ambiguous_contexts(spark, sf_dir):
+    return judging.ambiguous_contexts(mining.neighbours(_lower(spark, sf_dir), "t"), min_count=2)
+
+
+@query(f"WITH {_VOCAB} SELECT token, '{{\"word\":\"' || token || '\",\"meanings\":[' || array_to_string(list_transform(string_split({S.case(fixed.AMBIGUOUS, 'token', 'NULL')}, ' '), lambda m: '\"' || m || '\"'), ',') || ']}}' AS request FROM v WHERE token IN {tuple(fixed.AMBIGUOUS)}")
+def meaning_requests(spark, sf_dir):
+    return judging.meaning_requests(_vocab(spark, sf_dir).select("token"))
+
+
+@query()
+def transliteration_candidates(spark, sf_dir):
+    """Words by loan key and by spelling: similar words among those that share a key or a 3-gram."""
+    v = _vocab(spark, sf_dir)
+    return judging.transliterations(v.filter("n between 3 and 5").select("token"), v.filter("n >= 60").select("token"))
+
+
+@query()
+def similar_words(spark, sf_dir):
+    return mining.similar_words(_vocab(spark, sf_dir).filter("n >= 30"))
+
+
+@query()
+def fuzzy_canonical(spark, sf_dir):
+    return judging.fuzzy_canonical(_vocab(spark, sf_dir).select("token"))
+
+
+@query(
+    f"""{_SQL_SWAPS}, bw AS (SELECT a AS word, b AS other, n FROM sw UNION ALL SELECT b, a, n FROM sw)
+    SELECT a, b, n FROM sw WHERE EXISTS (SELECT 1 FROM bw o WHERE contains(o.other, ' ') AND o.n >= 0.5 * sw.n AND ((o.word = sw.a AND list_contains(string_split(o.other, ' '), sw.b)) OR (o.word = sw.b AND list_contains(string_split(o.other, ' '), sw.a))))"""
+)
+def partial_phrases(spark, sf_dir):
+    return judging.partial_phrases(mining.swaps(_text_pairs(spark, sf_dir), "a", "b")).select("a", "b", "n")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(' ' || replace(replace(' ' || p_name || ' ', ' red ring ', ' rr '), ' small ', ' sm ') || ' ', '\\s+', ' ', 'g')) AS name FROM part")
+def lexicon_rewrite(spark, sf_dir):
+    lexicon = Lexicon(words=[("US", "name", "red ring", "rr"), ("US", "both", "small", "sm"), ("FRANCE", "name", "red", "rouge")])
+    return table(spark, sf_dir, "part").select("p_partkey", lexicon.apply(F.col("p_name"), F.lit("US"), "name").alias("name"))
+
+
 # --- whole plans --------------------------------------------------------------
 
 

@@ -121,6 +121,13 @@ def phonetic_key(expr: str, style: str) -> str:
     return joined(f"list_transform({steps}, lambda w: CASE WHEN w LIKE '#%' THEN w[2:] ELSE w[1] || {replaced('w[2:]', '[aeiou]', '')} END)")
 
 
+def loan_key(expr: str) -> str:
+    k = f"coalesce({expr}, '')"
+    for a, b in fixed.rewrites(fixed.LOAN_KEY):
+        k = f"replace({k}, {q(a)}, {q(b)})"
+    return collapsed(f"({k})[1] || {replaced(f'({k})[2:]', '[aeiouyh]', '')}")
+
+
 def split_trade_names(expr: str) -> str:
     parts = f"list_filter(list_transform(string_split_regex(coalesce({expr}, ''), {q('(?i)' + fixed.TRADE_NAME)}), lambda p: trim(p, ' ,.-')), lambda p: p <> '')"
     return f"CASE WHEN len({parts}) > 0 THEN {parts} ELSE [coalesce({expr}, '')] END"
