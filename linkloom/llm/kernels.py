@@ -7,6 +7,7 @@ one block; a text longer than ``BLOCK_BYTES`` makes a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,3 +152,13 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <
         step = max(1, int(n * limit / max(1, batch.column(batch.schema.get_field_index(text)).nbytes))) if n else 1
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a worker process outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
