@@ -19,7 +19,7 @@ import numpy as np
 import regex
 
 #: Words remembered by a worker, at most; later ones are encoded wherever they occur.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 class WordBpe:
