@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .runtime import bounded, skew_lookup, written
+from .runtime import bounded, skew_lookup, unit, written
 
 WORDS = 5
 PERCENT = 75
@@ -45,6 +45,7 @@ SKETCH = 64
 SHORT = 16
 PIVOTS = 3
 BLOCK_CLASSES = 256
+HEAVY_SAMPLE = 100_000
 #: Rows of ids that are broadcast at most (16 MB); more go through a shuffled join.
 BROADCAST_IDS = 1_000_000
 SIGNED_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch array<long>"
@@ -104,7 +105,7 @@ def runs_of(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", F.explode(F.array_distinct(F.concat(keys, pairs))).alias("key")).select("key", "node", "n")
 
 
-def lists(runs: DataFrame, short: int = SHORT, percent: int = PERCENT) -> DataFrame:
+def lists(runs: DataFrame, heavy: DataFrame | None = None, short: int = SHORT, percent: int = PERCENT) -> DataFrame:
     """Rows of the inverted lists: pairs (a, b) of short ones that sizes allow, members (a, key) of long ones."""
     schema = "a long, b long, key long"
 
@@ -158,7 +159,26 @@ def lists(runs: DataFrame, short: int = SHORT, percent: int = PERCENT) -> DataFr
         if held is not None:
             yield from close(*held, last=True)
 
-    return runs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+    if heavy is None:
+        return runs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+    # members of heavy lists are known to be in long lists: no task gathers them
+    keys = F.broadcast(heavy)
+    rest = runs.join(keys, "key", "left_anti")
+    met = rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+    return met.unionByName(runs.join(keys, "key", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "key"))
+
+
+def heavy_keys(classes: DataFrame, short: int = SHORT) -> DataFrame:
+    """Keys of lists that hold a thousandth of the classes or more, as a sample of ``HEAVY_SAMPLE`` classes shows.
+
+    A class has at most SKETCH + 8 runs, so there are under 1,000 * (SKETCH + 8) such keys: few enough to
+    broadcast. Each has more than ``short`` members in the sample alone, so its list is long for certain; a key
+    that the sample misses takes the usual way. The sample thus decides on the route, never on the result.
+    """
+    share = min(1.0, HEAVY_SAMPLE / max(1, classes.count()))
+    some = classes.filter(unit(F.col("node")) < share)
+    least = max(short, int(some.count() * 1e-3))
+    return written(runs_of(some).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > least).select("key"), "heavy")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -293,7 +313,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
         rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")),
         "classes",
     )
-    found = written(lists(runs_of(classes.filter("n >= 3"))), "lists")
+    found = written(lists(runs_of(classes.filter("n >= 3")), heavy_keys(classes.filter("n >= 3"))), "lists")
     pairs = found.filter("b is not null").select("a", "b").filter("a <> b").distinct()
     # classes with over a third of their runs in long lists
     crowded = found.filter("key is not null").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("m")).join(classes.select("node", "n"), "node").filter(F.lit(3) * F.col("m") > F.least(F.col("n"), F.lit(SKETCH)) - F.lit(2)).select("node")
