@@ -114,6 +114,14 @@ class ChunkEncoder:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
+def _forget() -> None:
+    _encoders.clear()
+    byte_bpe.cache_clear()
+
+
+K.MEMORIES["bytes"] = _forget
+
+
 def _encoder(path: str) -> ChunkEncoder:
     """One per worker process, so that chunks are reused across its tasks."""
     if path not in _encoders:
@@ -126,7 +134,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        for batch in K.small_batches(batches, "text", 2 << 20):
+        for batch in K.small_batches(batches, "text", 2 << 20, "bytes"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode(K.column(batch, "text")), pa.binary())], names=["doc_id", "ids"])
 
     return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary")
@@ -137,7 +145,7 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        for batch in K.small_batches(batches, "ids", 2 << 20):
+        for batch in K.small_batches(batches, "ids", 2 << 20, "bytes"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(x).decode() for x in K.column(batch, "ids")], pa.string())], names=["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
@@ -151,7 +159,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        for batch in K.small_batches(batches, "text", 2 << 20):
+        for batch in K.small_batches(batches, "text", 2 << 20, "bytes"):
             ids = encoder.encode(K.column(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -8,7 +8,7 @@ one block; a text longer than ``BLOCK_BYTES`` makes a block of its own.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +145,18 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text."""
+#: What a worker process remembers from task to task, by kind: how to forget it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20, memory: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text.
+
+    A task names the ``memory`` it uses; what other operators' tasks have left in its worker goes.
+    """
+    for kind, forget in MEMORIES.items():
+        if kind != memory:
+            forget()
     for batch in batches:
         n = batch.num_rows
         step = max(1, int(n * limit / max(1, batch.column(batch.schema.get_field_index(text)).nbytes))) if n else 1

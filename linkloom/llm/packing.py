@@ -75,9 +75,8 @@ def pieces(docs: DataFrame, tokenizer: str, closing_id: int = 2, capacity: int =
     closing = int(closing_id).to_bytes(4, "little")
 
     def run(batches):
-        model = word_bpe(tokenizer)
-        names = [f.split()[0] for f in PIECES_SCHEMA.split(", ")]
-        for batch in K.small_batches(batches, "text", 2 << 20):
+        names, model = [f.split()[0] for f in PIECES_SCHEMA.split(", ")], word_bpe(tokenizer)
+        for batch in K.small_batches(batches, "text", 2 << 20, "words"):
             out = []
             for place, (doc, ids) in enumerate(zip(K.column(batch, "doc_id"), model.encode_many(K.column(batch, "text")), strict=True)):
                 ids += closing

@@ -43,7 +43,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, eod: int, block_tokens: i
         names = [f.split()[0] for f in FILES_SCHEMA.split(", ")]
         row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds, strict=True)], names=names)
         rest, block, first, width = b"", 0, 0, 2 * block_tokens
-        for batch in K.small_batches(batches, "text", 2 << 20):
+        for batch in K.small_batches(batches, "text", 2 << 20, "bytes"):
             parts = [rest]
             for text in K.column(batch, "text"):
                 parts.append(np.array([*(model.encode_ordinary(text) if text else ()), eod], "<u2").tobytes())

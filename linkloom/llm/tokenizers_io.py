@@ -18,6 +18,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .kernels import MEMORIES
+
 #: Words remembered by a worker, at most; later ones are encoded wherever they occur.
 REMEMBERED = 300_000
 
@@ -158,3 +160,7 @@ def _byte_places() -> dict[str, int]:
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
+
+
+MEMORIES["words"] = word_bpe.cache_clear
+MEMORIES["bytes"] = byte_bpe.cache_clear
