@@ -70,6 +70,14 @@ def test_components_of_chains_and_stars(spark, n):
     assert all(got[i] == 0 for i in range(n + 1)) and all(got[1000 + i] == 1000 for i in range(300))
 
 
+def test_components_of_a_long_ascending_chain(spark):
+    """Each vertex's least neighbour is its predecessor, so a round without doubling takes in one vertex."""
+    n = 400
+    edges = [(i, i + 1) for i in range(n)] + [(5000 + i, 5000 + i + d) for i in range(100) for d in (1, 2)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {5000 + i: 5000 for i in range(102)}
+
+
 def test_skew_lookup_is_a_left_join(spark):
     big = written(spark.range(5000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("k"), "id"), "big")
     small = spark.range(0, 5000, 5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 14)], "k long, v long"))
