@@ -10,15 +10,20 @@ fewer): documents at the threshold share such runs for certain while sketches
 hold whole sets, because the few values that differ cannot break up all runs,
 and but for a chance of about 1e-8 beyond, whereas a passage that many documents
 share leaves few common runs. Lists of up to ``SHORT`` classes give their pairs.
-Longer lists give pairs only among crowded classes, those with over a third of
-their runs in long lists: each meets a few pivots of the list. Candidates pass
-an estimate of the Jaccard similarity from the sketch of the union, with a
-margin of over five standard errors, and are confirmed on full sets.
 
-Crowded classes joined by long lists form families. Classes outside a family's
-largest component are then compared with all of the family in blocks, on full
-sets, so that no link between components is lost; a block reports one link for
-each class and component. Nothing is capped.
+Classes in longer lists meet again by the rarest of their retained values. Two
+sketches that pass the estimate below share so many values (``least_shared``) that
+the rarest one they share is among the few rarest of either. Lists of these rare
+values give all pairs if they are short; in longer ones each class meets a few
+pivots. A passage that many documents share is among the rare values of a class
+only where it makes up over two fifths of what the class has. Candidates pass an estimate
+of the Jaccard similarity from the sketch of the union, with a margin of over five
+standard errors, and are confirmed on full sets.
+
+Classes joined by pivots form families. Classes outside a family's largest
+component are then compared with all of the family in blocks, on full sets, so
+that no link between components is lost; a block reports one link for each class
+and component. Nothing is capped.
 
 Defined cases: a document without text or words has an empty set, its own
 component, and is kept. Rows that repeat a doc_id count as one document. A null
@@ -44,6 +49,8 @@ PERCENT = 75
 SKETCH = 64
 SHORT = 16
 PIVOTS = 3
+#: Standard errors that an estimate may be off.
+MARGIN = 5.5
 BLOCK_CLASSES = 256
 HEAVY_SAMPLE = 100_000
 #: Rows of ids that are broadcast at most (16 MB); more go through a shuffled join.
@@ -181,6 +188,31 @@ def heavy_keys(classes: DataFrame, short: int = SHORT) -> DataFrame:
     return written(runs_of(some).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > least).select("key"), "heavy")
 
 
+def least_shared(n: int, percent: int = PERCENT, sketch: int = SKETCH) -> int:
+    """How many retained values a class with ``n`` shingles shares at least with any that passes ``estimated``."""
+    j = percent / 100
+    # where a sketch leaves values out, the sketch of the union holds ``sketch`` values or more
+    cut = math.ceil(sketch * j - MARGIN * math.sqrt(sketch * j * (1 - j)))
+    whole = -(-percent * n // 100)
+    return max(1, min(cut, whole) if 100 * n > percent * sketch else whole)
+
+
+def rare_values(classes: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, node, n): the retained values of some classes by which those that pass ``estimated`` meet for certain.
+
+    All classes put their values in one order, rare ones first. If two share s values, the first of these is at
+    place size - s + 1 or before in either. Values of one class alone come first and meet nothing.
+    """
+    some = classes.join(nodes, "node", "left_semi").select("node", "n", "sketch")
+    rows = written(some.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("key")), "values")
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
+    shared = skew_lookup(rows, "key", counts).filter("m is not null")
+    least = F.element_at(F.array(*[F.lit(least_shared(n, percent)) for n in range(1, SKETCH + 2)]), F.least(F.col("n"), F.lit(SKETCH + 1)).cast("int"))
+    own = shared.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("m", "key"))).alias("values"))
+    places = F.greatest(F.lit(0), F.size("values") - least + F.lit(1))
+    return own.select(F.explode(F.slice("values", F.lit(1), places)["key"]).alias("key"), "node", "n")
+
+
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose similarity, as the sketch of the union estimates it, may reach the threshold."""
     sketches = classes.select("node", "n", "sketch")
@@ -201,7 +233,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
                 both_values.sort()
                 same = int((both_values[1:] == both_values[:-1]).sum())
                 size = len(both_values) - same
-                margin = 0 if known == np.iinfo(np.int64).max else 5.5 * math.sqrt(j * (1 - j) / size)
+                margin = 0 if known == np.iinfo(np.int64).max else MARGIN * math.sqrt(j * (1 - j) / size)
                 keep[i] = same >= size * (j - margin)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
@@ -315,10 +347,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     )
     found = written(lists(runs_of(classes.filter("n >= 3")), heavy_keys(classes.filter("n >= 3"))), "lists")
     pairs = found.filter("b is not null").select("a", "b").filter("a <> b").distinct()
-    # classes with over a third of their runs in long lists
-    crowded = found.filter("key is not null").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("m")).join(classes.select("node", "n"), "node").filter(F.lit(3) * F.col("m") > F.least(F.col("n"), F.lit(SKETCH)) - F.lit(2)).select("node")
-    crowded = written(crowded, "crowded")
-    members = written(found.filter("key is not null").select("key", F.col("a").alias("node")).join(crowded, "node", "left_semi").select("key", "node"), "long")
+    rare = written(rare_values(classes, found.filter("key is not null").select(F.col("a").alias("node")).distinct(), percent), "rare")
+    most = max(SHORT, int(classes.count() * 1e-3))
+    met = written(lists(rare, written(rare.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > most).select("key"), "heavy")), "met")
+    pairs = pairs.unionByName(met.filter("b is not null").select("a", "b").distinct())
+    members = written(met.filter("key is not null").select("key", F.col("a").alias("node")), "long")
     pivots = members.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
     stars = skew_lookup(members, "key", written(pivots, "pivots")).select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a")).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     stars = written(stars, "stars")

@@ -36,6 +36,21 @@ def test_families_beyond_long_lists(spark):
     check(spark, texts)
 
 
+def test_a_large_family_with_members_at_the_threshold(spark):
+    """Longer and shorter copies at 0.75 to 0.80 that share only runs of long lists with their family."""
+    base = corpus.words(240, 5, 100_000)
+    texts = [" ".join(base), *corpus.near_copies(base, 120, 11, 0.02)]
+    texts += [" ".join(base + corpus.words(60 + i % 18, 700 + i, 100_000)) for i in range(60)]
+    texts += [" ".join(base[: 182 + i % 12] + corpus.words(i // 12, 900 + i, 100_000)) for i in range(60)]
+    check(spark, texts)
+
+
+def test_rare_values_reach_every_pair_the_estimate_passes():
+    least = near_dedup.least_shared
+    assert [least(n) for n in (1, 2, 3, 4, 8, 40, 48)] == [1, 2, 3, 3, 6, 30, 36]
+    assert least(49) == least(64) == least(10_000) == 29  # such a set may meet one whose sketch leaves values out
+
+
 def test_small_sets_at_the_threshold(spark):
     w = [f"t{i}" for i in range(40)]
     texts = [" ".join(w[a:b]) for a in range(4) for b in range(a + 3, 22)]
