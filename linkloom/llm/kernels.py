@@ -141,6 +141,19 @@ def gear_cuts(raws: list[bytes], bits: int, window: int = 16) -> list[np.ndarray
     return [at[a:b] - s for a, b, s in zip(lo, hi, starts, strict=True)]
 
 
+def row_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows ``h[first:end]``, equal for equal values wherever they are."""
+    powers = np.full(h.size + 1, _P, U64)
+    powers[0] = 1
+    np.cumprod(powers, out=powers)
+    inverse = np.full(h.size + 1, U64(pow(int(_P), -1, 1 << 64)), U64)
+    inverse[0] = 1
+    np.cumprod(inverse, out=inverse)
+    sums = np.zeros(h.size + 1, U64)
+    np.cumsum(h * powers[:-1], out=sums[1:])
+    return mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(U64) * _MULT)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -186,6 +186,40 @@ def test_repeats_of_repeated_rows(spark):
     assert substring_dedup.repeated_passages(df.filter("doc_id < 0")).count() == 0
 
 
+def test_chunks_of_several_documents_make_no_passage(spark):
+    """Every chunk of the last text is in an earlier one, but no 14 words in a row are."""
+    text = corpus.words(400, 31, 100_000)
+    b = K.Block([" ".join(text).encode()])
+    c = substring_dedup.Chunks(b)
+    own = [text[f : z + 1] for f, z in zip(c.first.tolist(), c.last.tolist(), strict=True)]
+    around = corpus.words(len(own) * 40, 32, 100_000)
+    texts = []
+    for k, chunk in enumerate(own):
+        # the words about a chunk that let it be cut the same way, and others
+        before = own[k - 1][-2:] if k else []
+        texts.append(" ".join([*around[k * 40 : k * 40 + 20], *before, *chunk, *(own[k + 1][:1] if k + 1 < len(own) else []), *around[k * 40 + 20 : k * 40 + 40]]))
+    texts.append(" ".join(text))
+    seen = {tuple(w[i : i + 14]) for t in texts[:-1] for w in [t.split()] for i in range(len(w) - 13)}
+    df = corpus.table(spark, texts)
+    for r in substring_dedup.repeated_passages(df).collect():
+        w = texts[r.doc_id][r.start : r.end].split()
+        held = {k for i in range(len(w) - 13) if tuple(w[i : i + 14]) in seen for k in range(i, i + 14)}
+        assert held == set(range(len(w)))
+    assert any(len(chunk) < 14 for chunk in own) and sum(map(len, own)) == len(text)
+
+
+def test_spans_cover_every_row_of_chunks_with_enough_words():
+    b = K.Block([" ".join(corpus.words(n, 40 + n)).encode() for n in (3, 14, 90, 400)])
+    c = substring_dedup.Chunks(b)
+    spans = list(zip(c.span_first.tolist(), c.span_last.tolist(), strict=True))
+    assert all(c.words[a : z + 1].sum() >= 14 and c.of[a] == c.of[z] for a, z in spans)
+    for i in range(b.n):
+        for a in range(c.base[i], c.base[i + 1]):
+            for z in range(a, min(a + 9, c.base[i + 1])):
+                if c.words[a : z + 1].sum() >= 14:
+                    assert {k for x, y in spans if a <= x and y <= z for k in range(x, y + 1)} == set(range(a, z + 1))
+
+
 def test_cuts_resist_insertions():
     a = " ".join(corpus.words(500, 4)).encode()
     b = b"inserted words " + a
