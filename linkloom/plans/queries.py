@@ -861,7 +861,7 @@ def meaning_requests(spark, sf_dir):
 def transliteration_candidates(spark, sf_dir):
     """Words by loan key and by spelling: similar words among those that share a key or a 3-gram."""
     v = _vocab(spark, sf_dir)
-    return judging.transliterations(v.filter("n between 3 and 5").select("token"), v.filter("n >= 60").select("token"))
+    return judging.transliterations(v.filter("n >= 3").select("token"), v.filter("n >= 20").select("token"))
 
 
 @query()

@@ -86,3 +86,13 @@ def test_stream(spark, tmp_path):
     q = incremental.prepare_into(incremental.record_stream(spark, str(tmp_path / "in")), f"file://{tmp_path}/out", f"file://{tmp_path}/ck", romanise=False)
     q.awaitTermination(60)
     assert spark.read.parquet(f"file://{tmp_path}/out").first().norm_name == "alpha ltd"
+
+
+def test_transliteration_candidates_of_frequent_words(spark, tmp_path):
+    """Words seen six times or more have candidates too, and targets count from 20."""
+    from linkloom.plans import queries
+
+    text = " ".join(["limited"] * 20 + ["limitid"] * 8 + ["limitad"] * 3 + ["limitud"] * 2)
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.token: r.candidates for r in queries.transliteration_candidates(spark, str(tmp_path)).collect()}
+    assert got == {"limitid": ["limited"], "limitad": ["limited"]}
