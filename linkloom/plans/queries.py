@@ -119,8 +119,8 @@ _over_names("nonlatin_flag", "nonlatin", X.nonlatin, r"regexp_matches(regexp_rep
 
 @query()
 def romanised(spark, sf_dir):
-    """Every name through the romaniser: an Arrow UDF."""
-    return _doc_names(spark, sf_dir).select("doc_id", to_latin(F.col("name")).alias("latin"))
+    """Every whole text through the romaniser: an Arrow UDF."""
+    return table(spark, sf_dir, "documents").select("doc_id", to_latin(F.col("text")).alias("latin"))
 
 
 @query(

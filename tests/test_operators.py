@@ -96,3 +96,12 @@ def test_transliteration_candidates_of_frequent_words(spark, tmp_path):
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.token: r.candidates for r in queries.transliteration_candidates(spark, str(tmp_path)).collect()}
     assert got == {"limitid": ["limited"], "limitad": ["limited"]}
+
+
+def test_romanised_reads_whole_texts(spark, tmp_path):
+    from linkloom.plans import queries
+
+    spark.createDataFrame([(1, "one two three four five six seven राम", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = queries.romanised(spark, str(tmp_path)).collect()
+    last = row.latin.split()[-1]
+    assert len(row.latin.split()) == 8 and last.isascii() and last.startswith("r")
