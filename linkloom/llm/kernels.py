@@ -8,6 +8,7 @@ one block; a text longer than ``BLOCK_BYTES`` makes a block of its own.
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+LOWER_VALUES = BYTE_VALUES[LOWER]
+#: Bytes that are hashed at once.
+STRETCH = 1 << 20
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash's base, up to a stretch, and their inverses."""
+    powers, inverse = np.full(STRETCH + 1, _P, U64), np.full(STRETCH + 1, U64(pow(int(_P), -1, 1 << 64)), U64)
+    powers[0] = inverse[0] = 1
+    return np.cumprod(powers), np.cumprod(inverse)
+
+
 class Block:
     """Words of some texts: ``starts``/``ends`` are byte places, ``words`` where each text's words begin."""
 
@@ -63,23 +77,32 @@ class Block:
         self.words = np.searchsorted(self.starts, np.append(self.starts_of, self.data.size))
         self.n_words = np.diff(self.words)
 
-    def prefix_hash(self, lower: bool = False) -> None:
-        data = LOWER[self.data] if lower else self.data
-        powers = np.full(data.size + 1, _P, U64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        sums = np.zeros(data.size + 1, U64)
-        np.cumsum(BYTE_VALUES[data] * powers[:-1], out=sums[1:])
-        self.sums = sums
-        inverse = np.full(data.size + 1, U64(pow(int(_P), -1, 1 << 64)), U64)
-        inverse[0] = 1
-        np.cumprod(inverse, out=inverse)
-        self.inverse = inverse
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte ranges, equal for equal bytes wherever they are."""
-        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(U64) * _MULT)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+        """64-bit hashes of byte ranges, sorted and apart, equal for equal bytes wherever they are.
+
+        Ranges are hashed by stretches of ``STRETCH`` bytes, so a very long text takes no more memory than they do.
+        """
+        values, powers, inverse = (LOWER_VALUES if lower else BYTE_VALUES), *_powers()
+        out, lo = np.empty(len(starts), U64), 0
+        while lo < len(starts):
+            base = int(starts[lo])
+            hi = int(np.searchsorted(ends, base + STRETCH, "right"))
+            if hi <= lo:  # one range longer than a stretch
+                total, scale = 0, 1
+                for at in range(base, int(ends[lo]), STRETCH):
+                    part = self.data[at : min(at + STRETCH, int(ends[lo]))]
+                    total = (total + int((values[part] * powers[: part.size]).sum(dtype=U64)) * scale) % (1 << 64)
+                    scale = scale * pow(int(_P), STRETCH, 1 << 64) % (1 << 64)
+                out[lo] = total
+                lo += 1
+                continue
+            part = self.data[base : int(ends[hi - 1])]
+            sums = np.zeros(part.size + 1, U64)
+            np.cumsum(values[part] * powers[: part.size], out=sums[1:])
+            s, e = starts[lo:hi] - base, ends[lo:hi] - base
+            out[lo:hi] = (sums[e] - sums[s]) * inverse[s]
+            lo = hi
+        return mix(out + (ends - starts).astype(U64) * _MULT)
 
     def windows(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of every k words in a row within a text, and the text of each."""

@@ -4,31 +4,34 @@ One hash function gives every word shingle a value. A document's sketch holds
 the ``SKETCH`` least values of its set. Documents with equal sets form a class,
 found by a digest of the set; all further work is on classes.
 
-Candidates come from inverted lists of retained values. A list belongs to a run
-of three values that follow one another in a sketch (two in sets of ten or
-fewer): documents at the threshold share such runs for certain while sketches
-hold whole sets, because the few values that differ cannot break up all runs,
-and but for a chance of about 1e-8 beyond, whereas a passage that many documents
-share leaves few common runs. Lists of up to ``SHORT`` classes give their pairs.
-
-Classes in longer lists meet again by the rarest of their retained values. Two
-sketches that pass the estimate below share so many values (``least_shared``) that
-the rarest one they share is among the few rarest of either. Lists of these rare
-values give all pairs if they are short; in longer ones each class meets a few
-pivots. A passage that many documents share is among the rare values of a class
-only where it makes up over two fifths of what the class has. Candidates pass an estimate
-of the Jaccard similarity from the sketch of the union, with a margin of over five
-standard errors, and are confirmed on full sets.
-
-Classes joined by pivots form families. Classes outside a family's largest
-component are then compared with all of the family in blocks, on full sets, so
-that no link between components is lost; a block reports one link for each class
-and component. Nothing is capped.
+Candidates come from inverted lists of retained values. All classes put their
+values in one order, those that fewer classes retain first. Two sketches that pass
+the estimate below share at least ``least_shared`` values, so the first of these
+is among the first size - least_shared + 1 values of either (``rare_values``): only
+lists of these values are made, and a class none of whose values another class
+retains as often as that is in no list at all. This holds for certain while sketches are whole sets, and
+but for a chance of about 1e-8 for a pair beyond.
+
+Lists of up to ``SHORT`` classes give all their pairs, lists with equal members
+once. In longer lists each class meets two pivots, of which one is the class with
+the fewest values of its own, the nearest to what the list has in common.
+Candidates pass an estimate of the Jaccard similarity from the sketch of the
+union, with a margin of over five standard errors, and are confirmed on full sets.
+
+Pivots may leave a long list in several components. The classes of such lists meet
+once more by their full sets (``open_links``): among the first n - ceil(0.75 n) + 1
+values of a set, in the order of how many of these classes hold a value, lies one
+that any class at the threshold shares. Short lists give the pairs of different
+components. Where a list is long even so, classes outside the main component of the
+lists that hang together are compared with all of these in blocks, on full sets.
+Nothing is capped, and no link between components is lost.
 
 Defined cases: a document without text or words has an empty set, its own
-component, and is kept. Rows that repeat a doc_id count as one document. A null
-doc_id gets a null component and is kept. Only ASCII capitals are lowered. Other
-columns of the input are never looked at; an empty table gives an empty result.
+component, and is kept. Rows that repeat a doc_id count as one document, which has
+all links of its rows (a row without words stays by itself). A null doc_id gets a
+null component and is kept. Only ASCII capitals are lowered. Other columns of the
+input are never looked at; an empty table gives an empty result. A set is hashed in
+stretches of a text, so memory follows the number of its words, not of its bytes.
 """
 
 from __future__ import annotations
@@ -37,22 +40,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .runtime import bounded, skew_lookup, unit, written
+from .runtime import bounded, forget, skew_lookup, written
 
 WORDS = 5
 PERCENT = 75
 SKETCH = 64
 SHORT = 16
-PIVOTS = 3
 #: Standard errors that an estimate may be off.
 MARGIN = 5.5
 BLOCK_CLASSES = 256
-HEAVY_SAMPLE = 100_000
+#: A list is heavy when it has this share of the classes; a class is in SKETCH lists at most, so they are few.
+HEAVY_SHARE = 1e-3
 #: Rows of ids that are broadcast at most (16 MB); more go through a shuffled join.
 BROADCAST_IDS = 1_000_000
 SIGNED_SCHEMA = "doc_id long, n_shingles long, digest binary, sketch array<long>"
@@ -64,8 +67,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     out = []
     for _, b in K.blocks(texts):
         b.find_words()
-        b.prefix_hash(lower=True)
-        h = b.hashes(b.starts, b.ends)
+        h = b.hashes(b.starts, b.ends, lower=True)
         w, of = b.windows(h, words)
         w = (w >> U64(1)).astype(np.int64)
         at = np.searchsorted(of, np.arange(b.n + 1))
@@ -99,93 +101,59 @@ def signed(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH) -> DataFra
     return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SIGNED_SCHEMA)
 
 
-def runs_of(classes: DataFrame) -> DataFrame:
-    """(key, node, n): the runs of each class's sketch, hashed."""
-    s = F.col("sketch")
+def lists(rows: DataFrame, classes: int, short: int = SHORT) -> DataFrame:
+    """The inverted lists of ``rows`` (key, node): members of those with 2 to ``short`` nodes; node and key, row by row, of longer ones.
 
-    def of(k: int):
-        places = F.when(F.size(s) >= k, F.sequence(F.lit(1), F.size(s) - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(F.lit(k), *[F.element_at(s, i + F.lit(j)) for j in range(k)]))
-
-    keys = F.when(F.col("n") >= 9, of(3)).otherwise(F.array().cast("array<long>"))
-    pairs = F.when(F.col("n") <= 10, of(2)).otherwise(F.array().cast("array<long>"))
-    return classes.select("node", "n", F.explode(F.array_distinct(F.concat(keys, pairs))).alias("key")).select("key", "node", "n")
-
-
-def lists(runs: DataFrame, heavy: DataFrame | None = None, short: int = SHORT, percent: int = PERCENT) -> DataFrame:
-    """Rows of the inverted lists: pairs (a, b) of short ones that sizes allow, members (a, key) of long ones."""
-    schema = "a long, b long, key long"
-
-    def pairs_of(key, node, n, starts, sizes):
-        for k in range(2, short + 1):
-            at = starts[sizes == k]
-            for i in range(k):
-                for j in range(i + 1, k):
-                    x, y = at + i, at + j
-                    fit = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-                    yield node[x[fit]], node[y[fit]]
+    Heavy lists (``HEAVY_SHARE`` of the ``classes`` or more) are long for certain: no task gathers them.
+    """
+    schema = "members array<long>, node long, key long"
 
     def run(batches):
         held = None  # the last list, which may go on in the next batch
-        long_key = None  # a long list whose members so far are out already
+        open_key = None  # a long list whose members so far are out already
 
-        def batch_of(a, b, key):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if b is not None else pa.nulls(len(a), pa.int64()), pa.array(key) if key is not None else pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
-
-        def close(key, node, n, last: bool):
-            nonlocal held, long_key
-            edge = np.flatnonzero(np.diff(key)) + 1
-            starts = np.concatenate(([0], edge))
+        def close(key, node, last: bool):
+            nonlocal held, open_key
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
             sizes = np.diff(np.append(starts, len(key)))
-            whole = np.ones(len(starts), bool)
+            is_long = sizes > short
+            if open_key is not None and key[0] == open_key:
+                is_long[0] = True
+            good = ~is_long & (sizes > 1)
             held = None
-            if not last:
-                if sizes[-1] > short or key[-1] == long_key:  # long already: members may go out, the rest follows
-                    pass
-                else:
-                    whole[-1] = False
-                    held = (key[starts[-1] :], node[starts[-1] :], n[starts[-1] :])
-            is_long = (sizes > short) | (key[starts] == long_key if long_key is not None else False)
+            if not last and not is_long[-1]:
+                good[-1] = False
+                held = key[starts[-1] :], node[starts[-1] :]
+            open_key = key[-1] if is_long[-1] else None
             if is_long.any():
-                rows = np.repeat(is_long, sizes)
-                yield batch_of(node[rows], None, key[rows])
-            long_key = key[-1] if is_long[-1] else None
-            good = whole & ~is_long
-            found = [p for p in pairs_of(key, node, n, starts[good], sizes[good]) if len(p[0])]
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield batch_of(a, b, None)
+                of = np.repeat(is_long, sizes)
+                n = int(of.sum())
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array(node[of]), pa.array(key[of])], names=["members", "node", "key"])
+            if good.any():
+                of, n = np.repeat(good, sizes), int(good.sum())
+                offsets = np.concatenate(([0], np.cumsum(sizes[good]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[of])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["members", "node", "key"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(3)]
+            columns = [batch.column(i).to_numpy() for i in range(2)]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             yield from close(*columns, last=False)
         if held is not None:
             yield from close(*held, last=True)
 
-    if heavy is None:
-        return runs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
-    # members of heavy lists are known to be in long lists: no task gathers them
-    keys = F.broadcast(heavy)
-    rest = runs.join(keys, "key", "left_anti")
-    met = rest.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
-    return met.unionByName(runs.join(keys, "key", "left_semi").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "key"))
-
+    most = max(short, int(classes * HEAVY_SHARE))
+    heavy = F.broadcast(written(rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > most).select("key"), "heavy"))
+    met = rows.join(heavy, "key", "left_anti").select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+    return met.unionByName(rows.join(heavy, "key", "left_semi").select(F.lit(None).cast("array<long>").alias("members"), "node", "key"))
 
-def heavy_keys(classes: DataFrame, short: int = SHORT) -> DataFrame:
-    """Keys of lists that hold a thousandth of the classes or more, as a sample of ``HEAVY_SAMPLE`` classes shows.
 
-    A class has at most SKETCH + 8 runs, so there are under 1,000 * (SKETCH + 8) such keys: few enough to
-    broadcast. Each has more than ``short`` members in the sample alone, so its list is long for certain; a key
-    that the sample misses takes the usual way. The sample thus decides on the route, never on the result.
-    """
-    share = min(1.0, HEAVY_SAMPLE / max(1, classes.count()))
-    some = classes.filter(unit(F.col("node")) < share)
-    least = max(short, int(some.count() * 1e-3))
-    return written(runs_of(some).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > least).select("key"), "heavy")
+def pairs_of(short_lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the members of lists."""
+    pairs = F.expr("flatten(transform(members, (x, i) -> transform(slice(members, i + 2, size(members)), y -> struct(x as a, y as b))))")
+    return short_lists.select("members").distinct().select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
 
 
 def least_shared(n: int, percent: int = PERCENT, sketch: int = SKETCH) -> int:
@@ -197,20 +165,18 @@ def least_shared(n: int, percent: int = PERCENT, sketch: int = SKETCH) -> int:
     return max(1, min(cut, whole) if 100 * n > percent * sketch else whole)
 
 
-def rare_values(classes: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, node, n): the retained values of some classes by which those that pass ``estimated`` meet for certain.
+def rare_values(values: DataFrame, least: Column) -> DataFrame:
+    """(node, size, own, keys): the values of each class by which those that share ``least`` with it meet for certain.
 
-    All classes put their values in one order, rare ones first. If two share s values, the first of these is at
-    place size - s + 1 or before in either. Values of one class alone come first and meet nothing.
+    ``values`` (written): node, n, size of the class's values, key. All classes put their values in one order, rare
+    ones first. If two share s values, the first of these is at place size - s + 1 or before in either. Values of one
+    class alone (``own`` of them) come first and meet nothing.
     """
-    some = classes.join(nodes, "node", "left_semi").select("node", "n", "sketch")
-    rows = written(some.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("key")), "values")
-    counts = written(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
-    shared = skew_lookup(rows, "key", counts).filter("m is not null")
-    least = F.element_at(F.array(*[F.lit(least_shared(n, percent)) for n in range(1, SKETCH + 2)]), F.least(F.col("n"), F.lit(SKETCH + 1)).cast("int"))
-    own = shared.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("m", "key"))).alias("values"))
-    places = F.greatest(F.lit(0), F.size("values") - least + F.lit(1))
-    return own.select(F.explode(F.slice("values", F.lit(1), places)["key"]).alias("key"), "node", "n")
+    counts = written(values.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
+    shared = skew_lookup(values, "key", counts).filter("m is not null")
+    of = shared.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("m", "key"))).alias("values"))
+    places = F.greatest(F.lit(0), F.size("values") - least + F.lit(1)).cast("int")
+    return of.select("node", "size", (F.col("size") - F.size("values")).alias("own"), F.slice("values", F.lit(1), places)["key"].alias("keys")).filter(F.size("keys") > 0)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,16 +220,20 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFram
     return bounded(rows).mapInArrow(run, "node long, values array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = written(full_sets(docs, nodes, words), "sets")
-    with_a = skew_lookup(pairs, "a", sets.select(F.col("node").alias("a"), F.col("values").alias("va")))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a written table, whose full sets (node, values) reach the threshold."""
+    with_a = skew_lookup(pairs, "a", sets.select(F.col("node").alias("a"), F.col("values").alias("va")), wide=True)
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("values").alias("vb")), "b")
     same = F.size(F.array_intersect("va", "vb"))
     return both.select("a", "b", same.alias("i"), (F.size("va") + F.size("vb")).alias("s")).filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a written table, whose documents' full sets reach the threshold."""
+    nodes = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node"), "nodes")
+    return verified(pairs, written(full_sets(docs, nodes, words), "sets"), percent)
+
+
 def block_links(left: list, right: list, percent: int = PERCENT, slice_: int = 4096) -> list[tuple[int, int]]:
     """For rows (node, component, values) on either side: one link of each left row to each other component on the right."""
     ids = [np.concatenate([np.asarray(r[2]) for r in side]) for side in (left, right)]
@@ -293,10 +263,10 @@ def block_links(left: list, right: list, percent: int = PERCENT, slice_: int = 4
     return [(a, b) for a, b in {(x, c): (a, b) for x, c, a, b in out}.values()]
 
 
-def family_links(members: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
+def family_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """Links (a, b) from classes outside a family's largest component to the rest of it.
 
-    ``members``: node, family, component. None if every family is one component.
+    ``members``: node, family, component; ``sets``: node, values. None if every family is one component.
     """
     parts = members.groupBy("family", "component").agg(F.count("*").alias("m"))
     main = parts.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts"), F.sum("m").alias("size")).filter("parts > 1")
@@ -304,8 +274,7 @@ def family_links(members: DataFrame, docs: DataFrame, words: int = WORDS, percen
     if main.isEmpty():
         return None
     open_ = written(skew_lookup(members, "family", main).filter("main is not null"), "members")
-    sets = full_sets(docs, open_.select("node").distinct(), words)
-    rows = open_.join(sets, "node").select("node", "component", "family", "main", F.least(F.col("size"), F.lit(1 << 20)).alias("size"), "values")
+    rows = open_.join(sets, "node").select("node", "component", "family", "main", "size", "values")
     blocks = F.ceil(F.col("size") / BLOCK_CLASSES).cast("int")
     # left and right blocks of a family meet in a grid of up to 16 x 16 tiles
     grid = F.least(F.col("blocks"), F.lit(16))
@@ -338,32 +307,67 @@ def _rows_of(lists_: pa.ListArray, i: int) -> list:
     return [(n, c, flat[offsets[k] : offsets[k + 1]]) for k, (n, c) in enumerate(zip(rows.field(0).to_pylist(), rows.field(1).to_pylist(), strict=True))]
 
 
-def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def contracted(long_: DataFrame) -> DataFrame:
+    """(node, family): which long lists (written rows node, key) hang together by common members; one row per node."""
+    first = long_.groupBy("node").agg(F.min("key").alias("first"))
+    first = written(first, "first")
+    edges = skew_lookup(long_, "node", first).select(F.col("key").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
+    labels = components(edges).select(F.col("node").alias("first"), F.col("component").alias("family"))
+    return skew_lookup(first, "first", labels).select("node", F.coalesce("family", "first").alias("family"))
+
+
+def open_links(lists_: DataFrame, label: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
+    """Links between components within long lists (node, key) that the pivots left; None if there is no such list."""
+    placed = written(skew_lookup(lists_, "node", label).select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
+    parts = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.lit(True).alias("open"))
+    open_ = written(skew_lookup(placed, "key", written(parts, "parts")).filter("open").select("node", "component").distinct(), "open")
+    if open_.isEmpty():
+        return None
+    sets = written(full_sets(docs, open_.select("node"), words), "open-sets")
+    size = F.size("values")
+    values = written(sets.select("node", size.alias("n"), size.alias("size"), F.explode("values").alias("key")), "open-values")
+    least = F.ceil(F.col("n") * F.lit(percent) / F.lit(100)).cast("int")
+    rare = written(rare_values(values, least).select("node", F.explode("keys").alias("key")), "open-rare")
+    met = written(lists(rare, open_.count()), "open-lists")
+    pairs = pairs_of(met.filter("members is not null"))
+    of = open_.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = pairs.join(open_.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of, "b").filter("ca <> cb").select("a", "b")
+    links = written(verified(written(apart, "apart"), sets, percent), "open-links")
+    long_ = met.filter("key is not null").select("node", "key")
+    if long_.isEmpty():
+        return links
+    members = written(contracted(long_).join(open_, "node"), "members")
+    more = family_links(members, sets, percent)
+    return links if more is None else written(links.unionByName(more), "open-links")
+
+
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed rows, the classes, and confirmed links (a, b) between them that connect all that is linked."""
     rows = written(signed(docs, words), "signed")
-    classes = written(
-        rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")),
-        "classes",
-    )
-    found = written(lists(runs_of(classes.filter("n >= 3")), heavy_keys(classes.filter("n >= 3"))), "lists")
-    pairs = found.filter("b is not null").select("a", "b").filter("a <> b").distinct()
-    rare = written(rare_values(classes, found.filter("key is not null").select(F.col("a").alias("node")).distinct(), percent), "rare")
-    most = max(SHORT, int(classes.count() * 1e-3))
-    met = written(lists(rare, written(rare.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > most).select("key"), "heavy")), "met")
-    pairs = pairs.unionByName(met.filter("b is not null").select("a", "b").distinct())
-    members = written(met.filter("key is not null").select("key", F.col("a").alias("node")), "long")
-    pivots = members.groupBy("key").agg(*[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)])
-    stars = skew_lookup(members, "key", written(pivots, "pivots")).select("node", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("a")).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    stars = written(stars, "stars")
-    candidates = written(pairs.unionByName(stars).distinct(), "candidates")
+    known = rows.filter("digest is not null and doc_id is not null")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
+    values = written(classes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("key")), "values")
+    least = F.element_at(F.array(*[F.lit(least_shared(n, percent)) for n in range(1, SKETCH + 2)]), F.least(F.col("n"), F.lit(SKETCH + 1)).cast("int"))
+    rare = written(rare_values(values, least), "rare")
+    forget(values)
+    found = written(lists(rare.select("node", F.explode("keys").alias("key")), classes.count()), "lists")
+    pairs = pairs_of(found.filter("members is not null"))
+    long_ = written(found.filter("key is not null").select("node", "key"), "long")
+    owners = skew_lookup(long_, "node", rare.groupBy("node").agg(F.min("own").alias("own")))
+    pivots = owners.groupBy("key").agg(F.min_by("node", F.struct("own", F.xxhash64("node"))).alias("p"), F.min_by("node", F.xxhash64("node", F.lit(1))).alias("q"))
+    met = skew_lookup(long_, "key", written(pivots, "pivots"))
+    stars = [met.select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")).filter("a < b").distinct() for c in ("p", "q")]
+    candidates = written(pairs.unionByName(stars[0]).unionByName(stars[1]).distinct(), "candidates")
     links = written(confirmed(written(estimated(candidates, classes, percent), "estimated"), docs, words, percent), "links")
-    if not stars.isEmpty():
-        family = components(stars).select("node", F.col("component").alias("family"))
-        known = components(links)
-        in_family = written(family.join(known, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "in_family")
-        more = family_links(in_family, docs, words, percent)
+    if not long_.isEmpty():
+        more = open_links(long_, components(links), docs, words, percent)
         if more is not None:
             links = written(links.unionByName(more), "links")
+    same = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    same = written(same, "repeated")
+    if not same.isEmpty():  # rows of one document with different texts
+        of = known.join(same, "doc_id", "left_semi").join(classes.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+        links = written(links.unionByName(of.join(of.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a <> b")), "links")
     return rows, classes, links
 
 

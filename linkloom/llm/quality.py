@@ -37,9 +37,8 @@ FEATURES_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n
 
 
 def base_counts(b: K.Block) -> dict[str, np.ndarray]:
-    """The base counts of each text of a block; leaves the block's words and prefix hashes."""
+    """The base counts of each text of a block; leaves the block's words and their hashes."""
     b.find_words()
-    b.prefix_hash()
     bounds = np.append(b.starts_of, b.data.size)
     starts_character = (b.data & 0xC0) != 0x80
     word_chars = K.sums_of(b.inside & starts_character, bounds)

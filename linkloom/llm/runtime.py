@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests in local mode) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode, where
+    it is unset (as in tests), a temporary folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -27,7 +29,18 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of ``written`` tables that nothing reads any more."""
+    for t in tables:
+        spark, path = t.sparkSession, getattr(t, "_written_path", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bytes of an Arrow batch, so that a Python worker never holds many long texts at once.
@@ -45,22 +58,36 @@ def bounded(df: DataFrame) -> DataFrame:
 #: A key is hot when it has this share of the rows at least, so there are at
 #: most 1 / HOT_SHARE hot keys: the proven bound of what is broadcast.
 HOT_SHARE = 1e-3
+#: A table of so few rows is joined as it is: one task can take them all.
+FEW_ROWS = 4096
 
 
-def skew_lookup(big: DataFrame, key: str, small: DataFrame) -> DataFrame:
+def skew_lookup(big: DataFrame, key: str, small: DataFrame, wide: bool = False) -> DataFrame:
     """Left join of ``big`` with ``small`` (unique in ``key``) that no hot key can skew.
 
     Keys with ``HOT_SHARE`` of ``big``'s rows or more number 1,000 at most; their
-    few rows of ``small`` are broadcast. All other rows go through a shuffled
-    join in which no key has more than that share. Null keys get nulls.
-    ``big`` is read three times and should be a written table.
+    few rows of ``small`` are broadcast, or, where rows of ``small`` are ``wide`` and so
+    have no bound, dealt with ``big``'s over salts, as many as the key's rows need. All other rows go
+    through a shuffled join in which no key has more than that share. Null keys get
+    nulls. ``big`` is read three times and should be a written table.
     """
-    least = int(big.count() * HOT_SHARE) + 1
+    rows = big.count()
+    least = max(2, int(rows * HOT_SHARE) + 1)
     added = [c for c in small.columns if c != key]
-    counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(least, 2)).select(key)
-    hot = written(small.join(F.broadcast(counts), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
-    joined = big.join(F.broadcast(hot), key, "left")
-    first = joined.filter(F.col("_hot").isNotNull()).select(*big.columns, *added)
+    if rows <= FEW_ROWS:
+        return big.join(small, key, "left").select(*big.columns, *added)
+    counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    if wide:
+        salts = written(counts.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_hot")), "hot")
+        joined = big.join(F.broadcast(salts), key, "left")
+        copies = small.join(F.broadcast(salts), key).select("*", F.explode(F.sequence(F.lit(0), F.col("_hot") - F.lit(1))).alias("_salt")).drop("_hot")
+        dealt = joined.filter(F.col("_hot").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.col("_hot")).cast("int"))
+        first = dealt.join(copies, [key, "_salt"], "left").select(*big.columns, *added)
+        hot = salts
+    else:
+        hot = written(small.join(F.broadcast(counts.select(key)), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
+        joined = big.join(F.broadcast(hot), key, "left")
+        first = joined.filter(F.col("_hot").isNotNull()).select(*big.columns, *added)
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")
     return first.unionByName(rest.join(small, key, "left").select(*big.columns, *added))
 

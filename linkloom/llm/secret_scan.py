@@ -77,7 +77,6 @@ _PARTS = np.cumsum([0, sum(_SIZES), 200, 1 << _WORD_BITS, 1 << _WORD_BITS, 256,
 def tokens(b: K.Block) -> dict[str, np.ndarray]:
     """For each token of a block: codes of its shape, its neighbours, the bytes around it, and its file."""
     b.find_words(_APART)
-    b.prefix_hash(lower=True)
     cls = _CLASS[b.data]
     s, e = b.starts, b.ends
     n = e - s
@@ -97,7 +96,7 @@ def tokens(b: K.Block) -> dict[str, np.ndarray]:
     shape = np.zeros(n.size, np.int32)
     for size, part in zip(_SIZES, parts, strict=True):
         shape = shape * size + part
-    words = (b.hashes(s, e) >> np.uint64(64 - _WORD_BITS)).astype(np.int32)
+    words = (b.hashes(s, e, lower=True) >> np.uint64(64 - _WORD_BITS)).astype(np.int32)
     of = np.repeat(np.arange(b.n), b.n_words)
     prev, nxt = np.zeros(n.size, np.int32), np.zeros(n.size, np.int32)
     if n.size > 1:
@@ -108,7 +107,7 @@ def tokens(b: K.Block) -> dict[str, np.ndarray]:
     bounds = np.append(b.starts_of, b.data.size)
     per = lambda mask, low, high: (lambda x: (x * low > size).astype(int) + (x * high > size))(K.sums_of(mask, bounds))
     file = per(cls == 3, 50, 5) * 4 + per((b.data == 61) | (b.data == 58), 200, 40) + (size < 200)
-    return {"shape": shape, "prev": prev, "next": nxt, "before": b.data[np.maximum(s - 1, 0)].astype(np.int32), "after": b.data[e].astype(np.int32), "file": np.minimum(file, _FILES - 1)[of], "of": of}
+    return {"shape": shape, "prev": prev, "next": nxt, "before": np.where(s > 0, b.data[np.maximum(s - 1, 0)], 10).astype(np.int32), "after": b.data[e].astype(np.int32), "file": np.minimum(file, _FILES - 1)[of], "of": of}
 
 
 def _shape_parts(shape: np.ndarray) -> np.ndarray:

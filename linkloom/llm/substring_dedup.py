@@ -44,7 +44,6 @@ class Chunks:
 
     def __init__(self, b: K.Block, least: int = LEAST_WORDS):
         b.find_words()
-        b.prefix_hash()
         cuts = K.gear_cuts(b.raws, CHUNK_BITS)
         heads = b.words[:-1][b.n_words > 0]
         at = np.concatenate([c + s for c, s in zip(cuts, b.starts_of, strict=True)]) if cuts else np.zeros(0, np.int64)

@@ -98,3 +98,96 @@ def test_skew_lookup_is_a_left_join(spark):
     small = spark.range(0, 5000, 5).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(spark.createDataFrame([(7, 14)], "k long, v long"))
     got = {(r.id, r.v) for r in skew_lookup(big, "k", small).collect()}
     assert got == {(r.id, r.v) for r in big.join(small, "k", "left").select("id", "v").collect()}
+
+
+def test_pairs_that_share_a_passage_with_all_others(spark):
+    """120 pairs; all documents open with the same ten words, so half of what a pair shares lies in one long list."""
+    head, texts = " ".join(f"head{i}" for i in range(10)), []
+    for i in range(120):
+        own = " ".join(f"p{i}x{j}" for j in range(4))
+        texts += [f"{head} {own} a{i} b{i}", f"{head} {own} c{i}"]
+    check(spark, texts)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_sets_with_shared_passages(spark, seed):
+    """Sets of 1 to 200 shingles: passages of all lengths, copies cut, extended and edited, around the threshold."""
+    import random
+
+    r = random.Random(seed)
+    passages = [[f"s{p}w{i}" for i in range(r.randint(3, 60))] for p in range(6)]
+    texts = []
+    for d in range(60):
+        base = [f"d{d}w{i}" for i in range(r.randint(1, 120))]
+        for p in r.sample(passages, r.randint(0, 2)):
+            at = r.randint(0, len(base))
+            base[at:at] = p
+        texts.append(" ".join(base))
+        for c in range(r.choice([0, 1, 1, 3, 24]) if d % 12 else 30):
+            copy = list(base)
+            kind = r.randint(0, 2)
+            if kind == 0:
+                copy = copy[: max(1, int(len(copy) * r.uniform(0.7, 1)))]
+            elif kind == 1:
+                copy += [f"e{d}c{c}w{i}" for i in range(int(len(copy) * r.uniform(0, 0.4)))]
+            else:
+                for _ in range(1 + len(copy) // 60):
+                    copy[r.randrange(len(copy))] = f"f{d}c{c}"
+            texts.append(" ".join(copy))
+    check(spark, texts)
+
+
+def test_lists_by_length(spark):
+    """Short lists, long ones that the sort gathers, and heavy ones, with batches that end within a list."""
+    rows = [(k, n) for k, size in enumerate([1, 2, 16, 17, 40, 3, 500, 2]) for n in range(size)]
+    df = written(spark.createDataFrame(rows, "key long, node long"), "list-rows")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, classes in ((3, 10), (7, 10**6), (10000, 10**6), (5, 100_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = near_dedup.lists(df, classes).collect()
+            assert sorted(sorted(r.members) for r in got if r.members is not None) == sorted(list(range(n)) for n in (2, 2, 3, 16))
+            assert sorted((r.key, r.node) for r in got if r.members is None) == sorted((k, n) for k, n in rows if k in (3, 4, 6))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_templates_larger_than_the_pivots_reach(spark):
+    """One page filled in many ways: slots from few choices, so all values are common and components many."""
+    import random
+
+    r = random.Random(5)
+    slots = [[" ".join(f"t{s}c{c}w{i}" for i in range(9)) for c in range(3)] for s in range(12)]
+    texts = [" ".join(r.choice(s[: 1 + (k % 3)]) for s in slots) for k in range(150)]
+    check(spark, texts)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Document 5 has two texts: one is a copy of 3, one of 8, so 3, 5 and 8 are one component."""
+    a, b = " ".join(corpus.words(40, 21)), " ".join(corpus.words(40, 22))
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(corpus.table(spark, [a, a, b, b], [3, 5, 5, 8])).collect()}
+    assert got == {(3, 3), (5, 3), (8, 3)}
+
+
+def test_wide_lookup_is_a_left_join(spark):
+    big = written(spark.range(5000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("k"), "id"), "big")
+    small = spark.range(0, 5000, 5).select(F.col("id").alias("k"), F.array("id").alias("v")).unionByName(spark.createDataFrame([(7, [14])], "k long, v array<long>"))
+    got = {(r.id, str(r.v)) for r in skew_lookup(big, "k", small, wide=True).collect()}
+    assert got == {(r.id, str(r.v)) for r in big.join(small, "k", "left").select("id", "v").collect()}
+
+
+def test_a_text_of_fifty_megabytes(spark):
+    """Hashing goes by stretches: a copy of a very long text is found, and a word longer than a stretch is one word."""
+    from linkloom.llm import kernels as K
+
+    word = "z" * (3 << 20)
+    b = K.Block([f"one {word} two".encode(), word.encode()])
+    b.find_words()
+    h = b.hashes(b.starts, b.ends)
+    assert h[1] == h[3] and len(set(h.tolist())) == 3
+    few = K.Block([b"alpha beta", b"beta"])
+    few.find_words()
+    assert few.hashes(few.starts, few.ends)[1] == few.hashes(few.starts, few.ends)[2]
+    long_ = " ".join(f"{i:07d}" for i in range(50 << 17))
+    sets = near_dedup.shingle_sets([long_])
+    assert len(sets[0]) == (50 << 17) - 4
