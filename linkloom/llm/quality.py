@@ -2,7 +2,7 @@
 
 The classifier is a logistic regression on hashed word and character n-grams,
 trained on a bounded sample of labelled rows (``SAMPLE`` at most, chosen by a
-hash of doc_id), calibrated on a held-out part, and scored in Arrow batches
+hash of doc_id, of texts of up to ``SAMPLE_BYTES``), calibrated on a held-out part, and scored in Arrow batches
 against fixed thresholds.
 
 Defined cases: a null or empty text has zero counts and fails the base rule
@@ -14,6 +14,7 @@ row; other columns of the input are never looked at.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from . import kernels as K
 from .runtime import bounded, unit
 
 BITS = 16
-#: The bound of the labelled sample.
-SAMPLE = 1500
+#: The bound of the labelled sample, in rows, and in bytes of each text that may be in it.
+SAMPLE, SAMPLE_BYTES = 1500, 1 << 18
 #: A text is rejected if its calibrated probability of being good is below this.
 LEAST_PROBABILITY = 0.3
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -69,41 +70,56 @@ def _dup(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n[back] > 1, first
 
 
-def ngram_buckets(b: K.Block) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each family of n-grams (words, word pairs, 3 and 5 bytes): buckets, and bounds of each text."""
+def ngram_buckets(b: K.Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(family, buckets, bounds of each text) of words, word pairs, 3 and 5 bytes; byte grams come by stretches.
+
+    No n-gram runs over the end of its text, so what a text has depends on the text alone.
+    """
     low = np.uint64(64 - BITS)
-    out = []
-    for k in (1, 2):
+    for f, k in enumerate((1, 2)):
         h, of = b.windows(b.word_hash, k)
-        out.append(((h >> low).astype(np.int32), np.searchsorted(of, np.arange(b.n + 1))))
-    data = K.LOWER[b.data].astype(np.uint32)
-    bounds = np.append(b.starts_of, b.data.size)
-    for k in (3, 5):
-        code = np.zeros(data.size, np.uint32)
-        for j in range(k):
-            code[: data.size - j] += data[j:]
-            code *= np.uint32(0x01000193)
-        code ^= code >> np.uint32(15)
-        out.append(((code * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32), bounds))
-    return out
-
-
-def _linear(families: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
-    """The mean weight of each family's n-grams, summed over families."""
-    z = 0.0
-    for w, (at, bounds) in zip(weights, families, strict=True):
-        z = z + K.sums_of(w[at], bounds) / np.maximum(1, np.diff(bounds))
-    return z
+        yield f, (h >> low).astype(np.int32), np.searchsorted(of, np.arange(b.n + 1))
+    for f, k in ((2, 3), (3, 5)):
+        last = np.maximum(b.starts_of, b.ends_of - k + 1)  # where a text's n-grams end to begin
+        for lo in range(0, b.data.size, K.STRETCH):
+            hi = min(lo + K.STRETCH, b.data.size)
+            data = K.LOWER[b.data[lo : hi + k - 1]].astype(np.uint32)
+            code = np.zeros(data.size, np.uint32)
+            for j in range(k):
+                code[: data.size - j] += data[j:]
+                code *= np.uint32(0x01000193)
+            code ^= code >> np.uint32(15)
+            first, end = np.clip(b.starts_of, lo, hi) - lo, np.clip(last, lo, hi) - lo
+            inside = np.zeros(hi - lo + 1, np.int8)
+            np.add.at(inside, first, 1)
+            np.add.at(inside, end, -1)
+            inside = np.cumsum(inside[:-1]) > 0
+            bounds = np.concatenate(([0], np.cumsum(end - first)))
+            yield f, (code[: hi - lo][inside] * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32), bounds
+
+
+#: Weights are summed as whole numbers of this size, so that a sum doesn't depend on what else a block holds.
+_GRAIN = 2.0**-32
+
+
+def _linear(families: Iterable[tuple[int, np.ndarray, np.ndarray]], weights: np.ndarray, n: int) -> np.ndarray:
+    """The mean weight of each family's n-grams, summed over families, for each of ``n`` texts."""
+    total, count = np.zeros((_FAMILIES, n), np.int64), np.zeros((_FAMILIES, n), np.int64)
+    for f, at, bounds in families:
+        total[f] += K.sums_of(weights[f][at], bounds)
+        count[f] += np.diff(bounds)
+    return (total * _GRAIN / np.maximum(1, count)).sum(0)
 
 
 class Classifier:
-    """Weights by family and bucket, an intercept, and the slope and offset of the calibration."""
+    """Weights by family and bucket (whole numbers of ``_GRAIN``), an intercept, and the slope and offset of the calibration."""
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+        self.weights, self.bias, self.slope, self.offset = np.round(weights / _GRAIN).astype(np.int64), bias, slope, offset
 
-    def probability(self, families) -> np.ndarray:
-        z = _linear(families, self.weights) + self.bias
+    def probability(self, b: K.Block) -> np.ndarray:
+        """Of each text of a block whose words are hashed."""
+        z = _linear(ngram_buckets(b), self.weights, b.n) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))
 
     @classmethod
@@ -112,14 +128,14 @@ class Classifier:
         width, parts = _FAMILIES << BITS, []
         for first, b in K.blocks(texts):  # each block's own sparse rows, in 12 bytes an entry
             base_counts(b)
-            row, col, val = [], [], []
-            for f, (bucket, bounds) in enumerate(ngram_buckets(b)):
+            keys, count = [], np.zeros((_FAMILIES, b.n), np.int64)
+            for f, bucket, bounds in ngram_buckets(b):
                 of = np.repeat(np.arange(b.n), np.diff(bounds))
-                key, n = np.unique((of.astype(np.int64) << 20) | (bucket + (f << BITS)), return_counts=True)
-                row.append((key >> 20).astype(np.int32))
-                col.append((key & ((1 << 20) - 1)).astype(np.int32))
-                val.append((n / np.maximum(1, np.diff(bounds))[row[-1]]).astype(np.float32))
-            parts.append((slice(first, first + b.n), *(np.concatenate(x) for x in (row, col, val))))
+                keys.append((of.astype(np.int64) << 20) | (bucket + (f << BITS)))
+                count[f] += np.diff(bounds)
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            row, col = (key >> 20).astype(np.int32), (key & ((1 << 20) - 1)).astype(np.int32)
+            parts.append((slice(first, first + b.n), row, col, (n / np.maximum(1, count[col >> BITS, row])).astype(np.float32)))
         fit = np.arange(len(texts)) % 5 != 0
         share = np.where(y > 0, 0.5 / max(1, (y[fit] > 0).sum()), 0.5 / max(1, (y[fit] <= 0).sum())) * fit
         w, bias = np.zeros(width), 0.0
@@ -138,7 +154,7 @@ class Classifier:
             bias -= rate * 0.2 * e.sum()
         z = linear()
         held = ~fit if (~fit).sum() >= 20 and len(set(y[~fit])) == 2 else fit
-        return cls(w.reshape(_FAMILIES, -1).astype(np.float32), bias, *_platt(z[held], y[held]))
+        return cls(w.reshape(_FAMILIES, -1), bias, *_platt(z[held], y[held]))
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -163,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return None
     share = min(1.0, sample / total)
     few = known.filter(unit(F.col("doc_id")) < share).groupBy("doc_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).orderBy("doc_id").toArrow()
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).orderBy("doc_id").toArrow()
     y = np.array(rows.column("_y").to_pylist(), float)
     if len(set(y > 0)) < 2:
         return None
@@ -174,7 +190,7 @@ def _verdict(b: K.Block, model: Classifier | None, least: float) -> tuple[dict[s
     """Counts, whether the base rule fails, the probability, and whether each text of a block is kept."""
     c = base_counts(b)
     failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED_PERCENT * c["n_words"])
-    p = model.probability(ngram_buckets(b)) if model else np.ones(b.n)
+    p = model.probability(b) if model else np.ones(b.n)
     return c, failed, p, ~failed & (p >= least)
 
 
