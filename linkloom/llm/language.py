@@ -7,8 +7,9 @@ from that centroid is beyond the one that all but a thousandth of the learning
 texts keep (distance-based rejection); the prediction stays a learned language.
 
 The centroids and n-gram weights are fitted on a bounded sample of rows of known
-language: ``PER_LANGUAGE`` per language and ``SAMPLE`` in all, about, chosen by a
-hash. Prediction covers every row.
+language, chosen by a hash: about ``PER_LANGUAGE`` per language and ``SAMPLE`` in all,
+or ``LEAST_ROWS`` per language where that is more, of texts of up to ``SAMPLE_BYTES``.
+Every language that has such a text is learned. Prediction covers every row.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
 not accepted. With nothing to learn from, every text is. Repeated rows each get
@@ -28,9 +29,9 @@ from .runtime import bounded, unit
 
 BITS = 12
 CENTROIDS = 3
-PER_LANGUAGE = 400
-SAMPLE = 3000
-MOST_LANGUAGES = 300
+#: Bounds of the learning sample: rows of a language, rows in all where there are few languages, rows that every
+#: language may have however many there are, and bytes of a text.
+PER_LANGUAGE, SAMPLE, LEAST_ROWS, SAMPLE_BYTES = 400, 3000, 10, 1 << 18
 _LETTERS = np.where([c >= 128 or 97 <= c <= 122 for c in K.LOWER.tolist()], K.LOWER, 32).astype(np.uint32)
 PREDICTED_SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 
@@ -39,16 +40,25 @@ _DAMPED = np.concatenate(([0], 1 + np.log(np.arange(1, 1 << 12)))).astype(np.flo
 
 
 def vectors(b: K.Block) -> np.ndarray:
-    """Counts of each text's hashed 2- and 3-byte grams of letters (ASCII in lower case), dampened: 1 + ln, up to 4,095."""
-    code = _LETTERS[b.data]
-    of = np.repeat(np.arange(b.n, dtype=np.uint32) << np.uint32(BITS), np.diff(np.append(b.starts_of, b.data.size)))
-    two = code[:-1] * np.uint32(257) + code[1:]
-    keep = two != 32 * 257 + 32
-    three = two[:-1] * np.uint32(257) + code[2:]
-    low = np.uint32(32 - BITS)
-    at = [of[: g.size][keep[: g.size]] | ((g[keep[: g.size]] * np.uint32(0x9E3779B1)) >> low) for g in (two, three)]
-    counts = np.bincount(np.concatenate(at), minlength=b.n << BITS)
-    return _DAMPED[np.minimum(counts, 4095)].reshape(b.n, -1)
+    """Counts of each text's hashed 2- and 3-byte grams of letters (ASCII in lower case), dampened: 1 + ln, up to 4,095.
+
+    A blank ends each text; no gram runs beyond it, so a text's vector depends on the text alone.
+    """
+    low, total = np.uint32(32 - BITS), np.zeros(b.n << BITS, np.int64)
+    bounds = np.append(b.starts_of, b.data.size)
+    ends = np.zeros(b.data.size + 2, bool)
+    ends[b.ends_of] = True
+    for lo in range(0, b.data.size, K.STRETCH):
+        hi = min(lo + K.STRETCH, b.data.size)
+        code = _LETTERS[np.append(b.data[lo : hi + 2], [32, 32])[: hi - lo + 2]]
+        of = np.repeat(np.arange(b.n, dtype=np.uint32) << np.uint32(BITS), np.diff(np.clip(bounds, lo, hi)))
+        two = code[:-1] * np.uint32(257) + code[1:]
+        three = two[:-1] * np.uint32(257) + code[2:]
+        two = two[:-1]
+        keep = (two != 32 * 257 + 32) & ~ends[lo:hi]
+        for gram, good in ((two, keep), (three, keep & ~ends[lo + 1 : hi + 1])):
+            total += np.bincount(of[good] | ((gram[good] * np.uint32(0x9E3779B1)) >> low), minlength=total.size)
+    return _DAMPED[np.minimum(total, 4095)].reshape(b.n, -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -80,25 +90,27 @@ class Centroids:
                 centres.append(c[i])
                 of.append(lang)
                 least.append(np.quantile(cosine[near == i, i], 0.001) if (near == i).any() else 0.0)
-        return cls(idf, np.stack(centres), of, np.array(least))
+        return cls(idf, np.stack(centres).astype(np.float64), of, np.array(least))
 
     def predict(self, b: K.Block) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroid of each text and the cosine."""
-        cosine = _unit(vectors(b) * self.idf) @ self.centres.T
+        cosine = np.round(_unit((vectors(b) * self.idf).astype(np.float64)) @ self.centres.T, 9)  # the same whatever else a block holds
         near = cosine.argmax(1)
         return near, np.clip(cosine[np.arange(b.n), near], 0, 1)
 
 
 def train(docs: DataFrame, learn: Column) -> Centroids | None:
     """Fit on rows where ``learn`` holds and lang is known, up to the documented bounds."""
-    known = docs.select("doc_id", "text", "lang", learn.alias("_learn")).filter(F.col("_learn") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    known = docs.select("doc_id", "text", "lang", learn.alias("_learn")).filter(F.col("_learn") & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}"))
+    known = known.select("doc_id", "text", "lang", unit(F.concat_ws("\n", F.col("doc_id").cast("string"), F.md5("text"))).alias("_at"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
     if not counts:
         return None
-    each = min(PER_LANGUAGE, SAMPLE // len(counts))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["n"])))])
-    rows = known.filter(unit(F.concat_ws("\n", F.col("doc_id").cast("string"), F.md5("text"))) < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang").limit(4 * SAMPLE).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    each = min(PER_LANGUAGE, max(LEAST_ROWS, SAMPLE // len(counts)))
+    # a language's first row is always in
+    share = known.sparkSession.createDataFrame([(r["lang"], max(each / r["n"], r["first"])) for r in counts], "lang string, _share double")
+    rows = known.join(F.broadcast(share), "lang").filter(F.col("_at") <= F.col("_share")).select("doc_id", "text", "lang").limit(4 * max(SAMPLE, each * len(counts))).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
     return Centroids.fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist()) if rows.num_rows else None
 
 
