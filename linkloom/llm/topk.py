@@ -12,15 +12,21 @@ are left, or no slice, these boundary rows are scored exactly.
 Blocks of queries meet blocks of rows in tiles of a grid (an equi-join on the
 tile), so neither side is broadcast or collected.
 
+Vectors with a component of ``LARGEST`` or more in size after quantising are kept
+in blocks of their own and scored in whole numbers of any size, as are blocks
+whose scores could leave 64 bits; their index would have too many slices.
+
 Defined cases: a vector that is null, empty, or holds a null or non-finite
-component takes no part, nor does one with a component of 2^26 or more in size
-after quantising, whose score could leave a 64-bit number. Vectors meet only
-vectors of their length. Rows with the query's id are not its candidates. A
+component takes no part. A score beyond 64 bits counts as the nearest number
+within. Vectors meet only vectors of their length. Rows with the query's id are not its candidates. A
 repeated row is a candidate each time. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,28 +39,27 @@ SCALE = 1024
 LARGEST = 1 << 26
 BLOCK_ROWS = 1 << 14
 BLOCK_QUERIES = 1 << 11
-BLOCK_SCHEMA = "dim int, ids binary, vals binary"
+BLOCK_SCHEMA = "dim int, wide boolean, ids binary, vals binary"
 FOUND_SCHEMA = "query_id long, vec_id long, score long"
 
 
-def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and ``q``: floor(SCALE * x) of each component; rows that take no part are left out."""
+def finite(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """vec_id and ``x``, components as doubles; rows that take no part are left out."""
     x = F.transform(F.col(embedding), lambda e: e.cast("double"))
-    fit = lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < F.lit(LARGEST / SCALE)), F.lit(False))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", fit))
-    return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(float(SCALE))).cast("int")).alias("q"))
+    fit = lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))), F.lit(False))
+    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", fit))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of each length packed into blocks of at most ``size``."""
+    """Rows of each length packed into blocks of at most ``size``: quantised to 32 bits, or, of wide vectors, as they are."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def flush(dim: int, n: int):
-            ids, vals = (np.concatenate(x) for x in zip(*held[dim], strict=True))
-            held[dim] = [(ids[n:], vals[n:])] if n < len(ids) else []
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[:n].tobytes()], pa.binary()), pa.array([vals[:n].tobytes()], pa.binary())], names=["dim", "ids", "vals"])
+        def flush(kind: tuple, n: int):
+            ids, vals = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+            held[kind] = [(ids[n:], vals[n:])] if n < len(ids) else []
+            return pa.RecordBatch.from_arrays([pa.array([kind[0]], pa.int32()), pa.array([kind[1]]), pa.array([ids[:n].tobytes()], pa.binary()), pa.array([vals[:n].tobytes()], pa.binary())], names=["dim", "wide", "ids", "vals"])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
@@ -62,16 +67,45 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             dims = np.diff(offsets)
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                held.setdefault(dim, []).append((ids[at], flat[offsets[at][:, None] + np.arange(dim)]))
-                while sum(len(x[0]) for x in held[dim]) >= size:
-                    yield flush(dim, size)
-        for dim in list(held):
-            if held[dim]:
-                yield flush(dim, sum(len(x[0]) for x in held[dim]))
+                x = flat[offsets[at][:, None] + np.arange(dim)]
+                large = (np.abs(x) >= LARGEST / SCALE).any(1)
+                for wide in (False, True):
+                    own = large == wide
+                    if own.any():
+                        held.setdefault((dim, wide), []).append((ids[at[own]], x[own] if wide else np.floor(x[own] * SCALE).astype(np.int32)))
+                        while sum(len(y[0]) for y in held[dim, wide]) >= size:
+                            yield flush((dim, wide), size)
+        for kind in list(held):
+            if held[kind]:
+                yield flush(kind, sum(len(y[0]) for y in held[kind]))
 
     return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
+def _floor(x: float) -> int:
+    """floor(SCALE * x) of any finite number."""
+    return int(x) * SCALE if abs(x) >= 1 << 53 else math.floor(x * SCALE)
+
+
+def unpacked(dim: int, wide: bool, ids: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows of whole numbers of a block; Python's own numbers if 64 bits could be too few for a row."""
+    ids_ = np.frombuffer(ids, np.int64)
+    if not wide:
+        return ids_, np.frombuffer(vals, np.int32).reshape(-1, dim)
+    x = np.frombuffer(vals, np.float64)
+    if np.abs(x).max() < 1 << 40:
+        return ids_, np.floor(x * SCALE).astype(np.int64).reshape(-1, dim)
+    return ids_, np.array([_floor(v) for v in x.tolist()], object).reshape(-1, dim)
+
+
+def plain_top(ids: np.ndarray, vals: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``BitSliced.top``, by exact scores of all rows in whole numbers of any size."""
+    bound = np.iinfo(np.int64)
+    score = [min(max(int(x), bound.min), bound.max) for x in vals.astype(object) @ query.astype(object)]
+    best = heapq.nsmallest(k, (i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-score[i], ids[i]))
+    return np.array(best, np.int64), np.array([score[i] for i in best], np.int64)
+
+
 def _add(by_weight: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
     """The bit slices, least first, of a sum of bitmaps by the power of two each counts for (carry-save adders)."""
     out, w = [], 0
@@ -176,7 +210,7 @@ class BitSliced:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows; ``is_query`` is over ``vec_id``."""
-    rows = quantised(vectors, vec_id, embedding)
+    rows = finite(vectors, vec_id, embedding)
     base = written(blocks(rows, BLOCK_ROWS), "vectors")
     asked = written(blocks(rows.filter(is_query), BLOCK_QUERIES), "queries")
     grid = max(1, min(base.count(), 4096))
@@ -184,17 +218,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     # every block of queries meets every block of rows in one tile of a grid of rows' parts and queries' parts
     tiles = min(queries, 1024)
     left = base.withColumn("_r", F.pmod(F.xxhash64("ids"), F.lit(grid))).select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_q"))
-    right = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.pmod(F.xxhash64("ids"), F.lit(tiles)).cast("int").alias("_q")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))).alias("_r"))
-    tiled = left.join(right.hint("shuffle_merge"), ["_r", "_q"]).filter("dim = q_dim").select("dim", "ids", "vals", "q_ids", "q_vals")
+    right = asked.select(F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals"), F.pmod(F.xxhash64("ids"), F.lit(tiles)).cast("int").alias("_q")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long"))).alias("_r"))
+    tiled = left.join(right.hint("shuffle_merge"), ["_r", "_q"]).filter("dim = q_dim").select("dim", "wide", "ids", "vals", "q_wide", "q_ids", "q_vals")
 
     def run(batches):
+        last, index = None, None  # successive tiles of one block of rows share its index
         for batch in batches:
             out = []
-            for dim, ids, vals, q_ids, q_vals in zip(*(K.column(batch, c) for c in batch.schema.names), strict=True):
-                index = BitSliced(np.frombuffer(ids, np.int64), np.frombuffer(vals, np.int32).reshape(-1, dim))
-                for own, query in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_vals, np.int32).reshape(-1, dim), strict=True):
-                    at, score = index.top(query, own, k)
-                    out.append((np.full(len(at), own), index.ids[at], score))
+            for dim, wide, ids, vals, q_wide, q_ids, q_vals in zip(*(K.column(batch, c) for c in batch.schema.names), strict=True):
+                at_ids, rows_ = unpacked(dim, wide, ids, vals)
+                asked_ids, asked_rows = unpacked(dim, q_wide, q_ids, q_vals)
+                small = not wide and not q_wide and dim * int(np.abs(rows_.astype(np.int64)).max()) * int(np.abs(asked_rows.astype(np.int64)).max()) < 1 << 60
+                if small and last != (ids, vals):
+                    last, index = (ids, vals), BitSliced(at_ids, rows_)
+                for own, query in zip(asked_ids.tolist(), asked_rows, strict=True):
+                    at, score = index.top(query, own, k) if small else plain_top(at_ids, rows_, query, own, k)
+                    out.append((np.full(len(at), own), at_ids[at], score))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
