@@ -61,17 +61,48 @@ def write_token_files(docs: DataFrame, tokenizer: str, eod: int, block_tokens: i
     return written(bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, FILES_SCHEMA), "tokens", "zstd")
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of flat files in any store that Spark reads. A file is read as one value: 2 GB at most."""
+#: Files from this size on are read in ranges: Spark's reader of binary files takes a file as one value.
+RANGE_BYTES = 1 << 28
 
-    def run(batches):
+
+def read_token_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Blocks of flat files, in order.
+
+    Files of up to ``range_bytes`` are read by Spark from any store that it reads. Longer ones are dealt to tasks in ranges of
+    whole blocks, which read them where pyarrow's file systems reach the store (local, HDFS, S3, GCS).
+    """
+    size, schema = width * block_tokens, "file string, block long, data binary"
+    per = max(1, range_bytes // size)  # blocks in a range
+
+    def row(file, block, data):
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    def whole(batches):
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = data.as_buffer() if data.is_valid else b""
-                for block, at in enumerate(range(0, len(raw), width * block_tokens)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([bytes(raw[at : at + width * block_tokens])], pa.binary())], names=["file", "block", "data"])
+                for block, at in enumerate(range(0, len(raw), size)):
+                    yield row(file, block, bytes(raw[at : at + size]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    def ranges(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, where = fs.FileSystem.from_uri(file if "//" in file else file.replace("file:", "file://", 1))
+                with store.open_input_file(where) as f:
+                    f.seek(first * size)
+                    for block in range(first, first + per):
+                        data = f.read(size)
+                        if not data:
+                            break
+                        yield row(file, block, data)
+
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= range_bytes).select("path", "content").mapInArrow(whole, schema)
+    blocks = F.ceil(F.col("length") / F.lit(size)).cast("long")
+    large = files.filter(F.col("length") > range_bytes).select("path", F.explode(F.sequence(F.lit(0).cast("long"), blocks - F.lit(1), F.lit(per).cast("long"))).alias("first"))
+    return small.unionByName(large.repartition("path", "first").mapInArrow(ranges, schema))
 
 
 def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
