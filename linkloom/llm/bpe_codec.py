@@ -12,7 +12,8 @@ are exactly those of the whole text. A chunk without such a place joins the
 repair as a whole.
 
 Defined cases: a null text is encoded as an empty one and gives no ids.
-Strings of special tokens become their ids, as in the library. Repeated rows
+Strings of special tokens become their ids, as in the library. Ids beyond the
+vocabulary decode to nothing. Repeated rows
 each get their row; other columns of the input are never looked at.
 """
 

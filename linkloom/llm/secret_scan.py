@@ -44,7 +44,8 @@ KINDS = ("assign", "access", "hex", "crf")
 #: Texts that this doesn't match have no span of the patterns.
 _MAY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
 
-SAMPLE = 300
+#: The bound of the learning sample, in rows, and in bytes of each text that may be in it.
+SAMPLE, SAMPLE_BYTES = 300, 1 << 18
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -309,7 +310,7 @@ def fit(texts: list[str], rounds: int = 70, rate: float = 0.15, decay: float = 2
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on about ``sample`` documents, chosen by a hash."""
     share = min(1.0, sample / max(1, docs.count()))
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").filter(unit(F.concat_ws("\n", F.col("doc_id").cast("string"), F.md5("text"), F.lit("field"))) < share).limit(4 * sample).toArrow()
+    rows = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").filter(unit(F.concat_ws("\n", F.col("doc_id").cast("string"), F.md5("text"), F.lit("field"))) < share).limit(4 * sample).toArrow()
     return fit(rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).column("text").to_pylist())
 
 

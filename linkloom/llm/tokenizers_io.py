@@ -147,7 +147,17 @@ class ByteBpe:
         return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> bytes:
-        return self.encoding.decode_bytes(ids)
+        """Bytes of the ids; ids that the vocabulary doesn't have give none."""
+        try:
+            return self.encoding.decode_bytes(ids)
+        except KeyError:
+            return b"".join(x for i in ids if (x := self._bytes_of(i)) is not None)
+
+    def _bytes_of(self, i: int) -> bytes | None:
+        try:
+            return self.encoding.decode_single_token_bytes(i)
+        except KeyError:
+            return None
 
 
 def _byte_places() -> dict[str, int]:
