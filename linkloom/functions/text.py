@@ -135,7 +135,7 @@ def clean(folded: Column, kind: str, canonical: bool = True) -> Column:
         (r"\b(\d+)\s*([bt])(?:is|er)\b", "$1$2"),
         (r"\b([a-z])\s+(?=[a-z]\b)", "$1"),
     ]
-    steps += [(r"\b(?:" + p + r")\b", r) for p, r in fixed.PHRASES]
+    steps += fixed.PHRASES
     t = reduce(lambda x, s: F.regexp_replace(x, *s), steps, t)
     words = tokens(t)
     if canonical:
@@ -186,8 +186,8 @@ def _collapsed(w: Column) -> Column:
     return F.regexp_replace(w, r"(.)\1+", "$1")
 
 
-def _word_key(w: Column, rules: str, final: str) -> Column:
-    k = _collapsed(reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), fixed.rewrites(rules), w))
+def _word_key(w: Column, rules: list[tuple[str, str]], final: str) -> Column:
+    k = _collapsed(reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), rules, w))
     if final:
         short = F.regexp_replace(k, f"[{final}]+$", "")
         k = F.when(short != "", short).otherwise(k)
@@ -202,7 +202,7 @@ def phonetic_key(norm: Column, style: str) -> Column:
 
 def loan_key(word: Column) -> Column:
     """The key of a loanword's spelling: consonants by sound, vowels, y and h only at the beginning, doubled letters once."""
-    k = reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), fixed.rewrites(fixed.LOAN_KEY), text(word))
+    k = reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), fixed.LOAN_KEY, text(word))
     return _collapsed(F.concat(F.substring(k, 1, 1), F.regexp_replace(F.substring(k, 2, 1 << 20), "[aeiouyh]", "")))
 
 

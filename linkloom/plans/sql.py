@@ -77,7 +77,7 @@ def clean(folded: str, kind: str, canonical: bool = True) -> str:
     t = replaced(f"' ' || {replaced(t, r'\s+', '  ')} || ' '", " ([a-z]) ", r"<\1>")
     t = f"trim({replaced(f'''replace(replace(replace({t}, '><', ''), '<', ' '), '>', ' ')''', r'\s+', ' ')})"
     for pattern, by in fixed.PHRASES:
-        t = replaced(t, r"\b(?:" + pattern + r")\b", by)
+        t = replaced(t, pattern, by)
     w = words(t)
     if canonical:
         inner = mapped(fixed.number_words(), "w")
@@ -110,7 +110,7 @@ def collapsed(expr: str) -> str:
 def phonetic_key(expr: str, style: str) -> str:
     rules, final = (fixed.INDIC_KEY, "") if style == "indic" else (fixed.FRENCH_KEY, fixed.FRENCH_FINAL)
     k = "w"
-    for a, b in fixed.rewrites(rules):
+    for a, b in rules:
         k = f"replace({k}, {q(a)}, {q(b)})"
     steps = f"list_transform(list_transform({words(expr)}, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '#' || w ELSE {collapsed(k)} END)"
     if final:
@@ -123,7 +123,7 @@ def phonetic_key(expr: str, style: str) -> str:
 
 def loan_key(expr: str) -> str:
     k = f"coalesce({expr}, '')"
-    for a, b in fixed.rewrites(fixed.LOAN_KEY):
+    for a, b in fixed.LOAN_KEY:
         k = f"replace({k}, {q(a)}, {q(b)})"
     return collapsed(f"({k})[1] || {replaced(f'({k})[2:]', '[aeiouyh]', '')}")
 
