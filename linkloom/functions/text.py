@@ -18,6 +18,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def bound(c: Column, use) -> Column:
+    """``use`` of ``c``, which is evaluated once however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def tokens(c: Column) -> Column:
     """Words between white space; no words gives an empty array."""
     t = F.trim(F.regexp_replace(text(c), r"\s+", " "))
@@ -194,10 +199,15 @@ def _word_key(w: Column, rules: list[tuple[str, str]], final: str) -> Column:
     return F.concat(F.substring(k, 1, 1), F.regexp_replace(F.substring(k, 2, 1 << 20), "[aeiou]", ""))
 
 
+def word_key(word: Column, style: str) -> Column:
+    """The key of one word (style: indic or french); a word with digits stays."""
+    rules, final = (fixed.INDIC_KEY, "") if style == "indic" else (fixed.FRENCH_KEY, fixed.FRENCH_FINAL)
+    return F.when(word.rlike("[0-9]"), word).otherwise(_word_key(word, rules, final))
+
+
 def phonetic_key(norm: Column, style: str) -> Column:
     """Each word's key (style: indic or french); words with digits stay."""
-    rules, final = (fixed.INDIC_KEY, "") if style == "indic" else (fixed.FRENCH_KEY, fixed.FRENCH_FINAL)
-    return joined(F.transform(tokens(norm), lambda w: F.when(w.rlike("[0-9]"), w).otherwise(_word_key(w, rules, final))))
+    return joined(F.transform(tokens(norm), lambda w: word_key(w, style)))
 
 
 def loan_key(word: Column) -> Column:
@@ -249,15 +259,21 @@ def split_landmarks(raw: Column) -> Column:
 
 def address_parts(norm: Column) -> Column:
     """struct(pc, unit, house, arr) of a normalised address; "" where a part is missing."""
-    t = text(norm)
-    last = lambda p: F.coalesce(F.try_element_at(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), F.lit(-1)), F.lit(""))
-    pc = F.when(last(fixed.PIN) != "", last(fixed.PIN)).otherwise(last(fixed.ZIP))
+    return bound(text(norm), lambda t: bound(_postcode(t), lambda pc: _parts(t, pc)))
+
+
+def _postcode(t: Column) -> Column:
+    last = lambda p: F.try_element_at(F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)), F.lit(-1))
+    return F.coalesce(last(fixed.PIN), last(fixed.ZIP), F.lit(""))
+
+
+def _parts(t: Column, pc: Column) -> Column:
     houses = F.regexp_extract_all(F.regexp_replace(t, fixed.UNIT, " "), F.lit(f"({fixed.HOUSE})"), F.lit(1))
-    house = F.coalesce(F.try_element_at(F.filter(houses, lambda h: h != pc), F.lit(1)), F.lit(""))
+    house = F.coalesce(F.try_element_at(F.array_remove(houses, pc), F.lit(1)), F.lit(""))
     city = F.create_map(*[F.lit(x) for kv in fixed.ARRONDISSEMENTS.items() for x in kv])
     coded = F.concat(F.try_element_at(city, F.substring(pc, 1, 2)), F.substring(pc, 4, 2).cast("int").cast("string"))
     named = r"\b(paris|lyon|marseille) (\d{1,2})\b"
-    said = F.when(t.rlike(named), F.concat(F.regexp_extract(t, named, 1), F.regexp_extract(t, named, 2).cast("int").cast("string"))).otherwise(F.lit(""))
+    said = F.coalesce(F.concat(F.regexp_extract(t, named, 1), F.regexp_extract(t, named, 2).try_cast("int").cast("string")), F.lit(""))
     by_code = (F.length(pc) == 5) & F.substring(pc, 1, 2).isin(*fixed.ARRONDISSEMENTS) & (F.substring(pc, 3, 1) == "0") & (F.substring(pc, 4, 2) != "00")
     return F.struct(pc.alias("pc"), F.regexp_extract(t, fixed.UNIT, 1).alias("unit"), house.alias("house"), F.when(by_code, coded).otherwise(said).alias("arr"))
 

@@ -62,8 +62,9 @@ def fitted(pool: DataFrame, min_df: int = 2, max_df: float | None = 0.01, max_df
 def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(grp, id, gram, w): (1 + ln tf) * idf over known grams, of length one per record."""
     raw = counts.join(idf, ["grp", "gram"]).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy("grp", "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norms, ["grp", "id"]).select("grp", "id", "gram", (F.col("x") / F.col("norm")).alias("w"))
+    # one record's grams: a small window
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("grp", "id")))
+    return raw.select("grp", "id", "gram", (F.col("x") / norm).alias("w"))
 
 
 def block_groups(s1: DataFrame, s23: DataFrame) -> tuple[DataFrame, DataFrame]:

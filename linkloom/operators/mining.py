@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stage import staged
 
 
 def vocabulary(rows: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -15,9 +16,11 @@ def vocabulary(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
 def neighbours(rows: DataFrame, text: str, longest: int = 4) -> DataFrame:
     """(token, side, neighbour, n) of alphabetic tokens of at most ``longest`` letters."""
-    w = X.tokens(F.col(text))
-    at = rows.select(w.alias("w")).select("w", F.posexplode("w").alias("i", "token")).filter(F.col("token").rlike(f"^[a-z]{{1,{longest}}}$"))
-    sides = at.select("token", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.when(F.col("i") > 0, F.try_element_at("w", F.greatest(F.col("i"), F.lit(1)))).alias("neighbour")), F.struct(F.lit("right").alias("side"), F.try_element_at("w", F.col("i") + 2).alias("neighbour")))).alias("x"))
+    w, none = F.col("w"), F.array(F.lit(None).cast("string"))
+    # every word beside the one before and the one behind it: each word travels three times, whatever the text's length
+    beside = F.arrays_zip(F.concat(none, w).alias("left"), w.alias("token"), F.concat(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), none).alias("right"))
+    at = rows.select(X.tokens(F.col(text)).alias("w")).filter(F.size("w") > 1).select(F.inline(beside)).filter(F.col("token").rlike(f"^[a-z]{{1,{longest}}}$"))
+    sides = at.select("token", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("neighbour")), F.struct(F.lit("right").alias("side"), F.col("right").alias("neighbour")))).alias("x"))
     return sides.select("token", "x.side", "x.neighbour").filter("neighbour is not null").groupBy("token", "side", "neighbour").agg(F.count("*").alias("n"))
 
 
@@ -69,9 +72,13 @@ def partners(swapped: DataFrame, min_rate: float = 0.03, most: int = 4) -> DataF
 
 
 def lookalikes(vocab: DataFrame, key: Column, per_key: int = 5) -> DataFrame:
-    """(a, b) with a < b of words that share a key, among each key's most frequent."""
-    top = vocab.withColumn("key", key).withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "token"))).filter((F.col("_r") <= per_key) & (F.col("key") != ""))
-    return top.select("key", F.col("token").alias("a")).join(top.select("key", F.col("token").alias("b")), "key").filter("a < b").select("key", "a", "b")
+    """(key, a, b) with a < b of words that share a key, among each key's most frequent; words without a key go first."""
+    best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "token"))
+    top = vocab.withColumn("key", key).filter("key <> ''").withColumn("_r", best).filter(F.col("_r") <= per_key)
+    # per_key words at most
+    words = top.groupBy("key").agg(F.collect_list("token").alias("words")).filter(F.size("words") > 1)
+    pairs = F.expr("flatten(transform(words, x -> transform(filter(words, y -> y > x), y -> struct(x as a, y as b))))")
+    return words.select("key", F.explode(pairs).alias("p")).select("key", "p.a", "p.b")
 
 
 def abbreviations(vocab: DataFrame, min_short: int = 60, min_long: int = 20, longest: int = 4, per_short: int = 10) -> DataFrame:
@@ -101,27 +108,21 @@ def script_audit(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     return n.join(sizes, list(keys)).select(*keys, "script", (F.col("n") / F.col("rows")).alias("share"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable over ``edges`` (a, b), by label propagation with written rounds."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over ``edges`` (a, b), by label propagation with staged rounds.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(most_rounds):
+    A label's own label is followed in each round, so chains halve; rounds go on until no label moves.
+    """
+    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = staged(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), (F.col("m") < F.col("component")).alias("moved"))
-        # a label's own label is at least as good: chains halve
+        new = staged(labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), (F.col("m") < F.col("component")).alias("moved")), "moved")
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = new.join(jump, "component", "left").select("node", F.least("component", "up").alias("component"), F.coalesce("moved", F.lit(False)).alias("moved")).checkpoint()
+        labels = staged(new.join(jump, "component", "left").select("node", F.least("component", "up").alias("component"), F.coalesce("moved", F.lit(False)).alias("moved")), "labels")
         if labels.filter("moved").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
-    raise RuntimeError("components did not settle")
 
 
 def synonyms(edges: DataFrame, counts: DataFrame, most: int = 12) -> DataFrame:

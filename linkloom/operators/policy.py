@@ -56,23 +56,28 @@ def tune_thresholds(pairs: DataFrame, score: str, s1: DataFrame, points: DataFra
     """macro_f05 of every grid point, best first (then the least thresholds), in one pass.
 
     ``pairs``: s1_id, s23_id, the score, y (0 or 1). ``s1``: s1_id, n_true. Assignment does not depend on the
-    thresholds. Each entity's winners become counts by hundredths of score, so a group's size doesn't matter.
-    The grid is a fixed set of points and is exploded, not joined.
+    thresholds. Each entity's winners become counts above each second threshold, so a group's size doesn't matter;
+    every point is one mean in one aggregate over the entities.
     """
     points = points if points is not None else grid(pairs.sparkSession)
     listed = [(r.t1, r.t2) for r in points.collect()]
+    seconds = sorted({b for _, b in listed})
     won = one_to_one(pairs, score).withColumns({"h": F.floor(F.round(F.col(score) * 100, 6)).cast("int"), "y": F.col("y").cast("long")})
-    levels = won.groupBy("s1_id", "h").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
-    top = won.withColumn("_rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc(score), "s23_id"))).filter("_rank = 1").select("s1_id", F.col("h").alias("top"), F.col("y").alias("top_y"))
-    entity = levels.groupBy("s1_id").agg(F.collect_list(F.struct("h", "n", "hits")).alias("levels"))
-    rows = s1.select("s1_id", "n_true").join(entity, "s1_id", "left").join(top, "s1_id", "left")
-    spread = rows.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2")) for a, b in listed])).alias("g")).select("s1_id", "n_true", "levels", "top", "top_y", "g.t1", "g.t2")
-    total = lambda field: F.aggregate(F.filter(F.coalesce("levels", F.array().cast("array<struct<h:int,n:bigint,hits:bigint>>")), lambda x: x["h"] >= F.col("t2")), F.lit(0).cast("long"), lambda acc, x: acc + x[field])
-    # the best pair counts from t1 on even if it lies below t2
-    lone = F.when((F.col("top") >= F.col("t1")) & (F.col("top") < F.col("t2")), 1).otherwise(0)
-    live = F.coalesce(F.col("top") >= F.col("t1"), F.lit(False))
-    spread = spread.withColumns({"n_pred": F.when(live, total("n") + lone).otherwise(0), "tp": F.when(live, total("hits") + lone * F.coalesce("top_y", F.lit(0))).otherwise(0)})
-    return spread.groupBy("t1", "t2").agg(F.avg(f05(F.col("tp"), F.col("n_pred"), F.col("n_true"))).alias("macro_f05")).orderBy(F.desc(F.round("macro_f05", 12)), "t1", "t2")
+    count = lambda t, of: F.sum(F.when(F.col("h") >= t, of).otherwise(F.lit(0)))
+    best = F.min_by(F.struct("h", "y"), F.struct(-F.col(score), "s23_id")).alias("best")
+    entity = won.groupBy("s1_id").agg(*[count(t, F.lit(1)).alias(f"n{t}") for t in seconds], *[count(t, F.col("y")).alias(f"y{t}") for t in seconds], best)
+    rows = s1.select("s1_id", "n_true").join(entity, "s1_id", "left").withColumns({"top": F.col("best.h"), "top_y": F.coalesce("best.y", F.lit(0))})
+
+    def point(t1: int, t2: int):
+        # the best pair counts from t1 on even if it lies below t2
+        live = F.coalesce(F.col("top") >= t1, F.lit(False))
+        lone = F.when(F.col("top") < t2, 1).otherwise(0)
+        return F.avg(f05(F.when(live, F.col(f"y{t2}") + lone * F.col("top_y")).otherwise(0), F.when(live, F.col(f"n{t2}") + lone).otherwise(0), F.col("n_true")))
+
+    # a row for all entities, then one for each point
+    means = rows.agg(*[point(a, b).alias(f"f{a}_{b}") for a, b in listed])
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2"), F.col(f"f{a}_{b}").alias("macro_f05")) for a, b in listed])).alias("g")
+    return means.select(each).select("g.*").orderBy(F.desc(F.round("macro_f05", 12)), "t1", "t2")
 
 
 def id_lists(matches: DataFrame, s1: DataFrame, column: str = "matched_entity_ids") -> DataFrame:

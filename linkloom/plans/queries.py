@@ -11,9 +11,10 @@ from ..functions import fixed
 from ..functions import text as X
 from ..functions.udf import similarity, to_latin
 from ..operators import blocking, groups, judging, mining, model, pairs, policy
+from ..operators import prepare as prepare_
 from ..operators.prepare import Lexicon, prepare
 from ..sources import adapters, records
-from ..sources.stage import staged
+from ..sources.stage import place, staged
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,15 +91,15 @@ def country_key(spark, sf_dir):
     return _spelled(spark, sf_dir).select("c_custkey", X.country_key(F.col("label")).alias("ckey"))
 
 
-_DOC_NAME = r"array_to_string(list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 6), ' ')"
+_DOC_NAME = r"array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), ' ')"
 
 
 def _doc_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(X.tokens(F.col("text")), 1, 6), " ").alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("name"))
 
 
 def _over_names(name: str, column: str, expr, sql: str) -> None:
-    """A query of one text function over the documents' names."""
+    """A query of one text function over the documents' whole texts, as names."""
     ORACLE[name] = f"WITH t AS (SELECT doc_id, {_DOC_NAME} AS name FROM documents) SELECT doc_id, {sql} AS {column} FROM t"
 
     def f(spark, sf_dir):
@@ -109,7 +110,7 @@ def _over_names(name: str, column: str, expr, sql: str) -> None:
 
 _over_names("normalize_legacy", "norm", X.normalize_legacy, S.normalize_legacy("name"))
 _over_names("core_name", "core", lambda c: X.core_name(X.normalize_legacy(c)), S.core_name(S.normalize_legacy("name")))
-_over_names("stopword_fallback", "core", lambda c: X.core_name(F.concat(F.lit("the "), F.substring(c, 1, 0), F.lit("and of"))), S.core_name("'the and of'"))
+_over_names("stopword_fallback", "core", lambda c: X.core_name(X.joined(F.filter(X.tokens(X.normalize_legacy(c)), lambda w: w.isin(fixed.CORE_STOP)))), S.core_name(S.joined(f"list_filter({S.words(S.normalize_legacy('name'))}, lambda w: list_contains({S.listed(fixed.CORE_STOP)}, w))")))
 _over_names("initials", "initials", lambda c: X.initials(X.normalize_legacy(c)), S.initials(S.normalize_legacy("name")))
 _over_names("to_latin_accents", "latin", X.fold_latin, S.fold_latin("name"))
 _over_names("phonetic_key_indic", "key", lambda c: X.phonetic_key(X.normalize_legacy(c), "indic"), S.phonetic_key(S.normalize_legacy("name"), "indic"))
@@ -452,15 +453,15 @@ def similarity_scores(spark, sf_dir):
 @query(
     r"""
     WITH v AS (SELECT w AS token, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')) AS w FROM documents) GROUP BY 1),
-    s AS (SELECT token AS short, token[1] AS head FROM v WHERE regexp_matches(token, '^[a-z]+$') AND len(token) <= 3 AND n >= 400),
-    l AS (SELECT token AS long, token[1] AS head, n FROM v WHERE regexp_matches(token, '^[a-z]+$') AND len(token) > 1 AND n >= 60),
+    s AS (SELECT token AS short, token[1] AS head FROM v WHERE regexp_matches(token, '^[a-z]+$') AND len(token) <= 4 AND n >= 60),
+    l AS (SELECT token AS long, token[1] AS head, n FROM v WHERE regexp_matches(token, '^[a-z]+$') AND len(token) > 1 AND n >= 20),
     h AS (SELECT short, long, n FROM s JOIN l ON s.head = l.head WHERE len(short) < len(long) AND regexp_matches(long, '^' || array_to_string(string_split(short, ''), '.*')))
     SELECT short, long, n FROM (SELECT *, row_number() OVER (PARTITION BY short ORDER BY n DESC, long) AS r FROM h) WHERE r <= 10
     """
 )
 def abbreviation_pairs(spark, sf_dir):
     v = mining.vocabulary(table(spark, sf_dir, "documents").select(F.lower("text").alias("t")), "t")
-    return mining.abbreviations(v, min_short=400, min_long=60, longest=3)
+    return mining.abbreviations(v)
 
 
 @query("SELECT 'S1-' || a.p_partkey AS s1_id, 'S2-' || b.p_partkey AS s23_id FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size + 1")
@@ -752,7 +753,7 @@ def swap_partners(spark, sf_dir):
 )
 def lookalike_keys(spark, sf_dir):
     v = mining.vocabulary(_lower(spark, sf_dir), "t").filter(F.col("token").rlike("^[a-z]+$"))
-    return mining.lookalikes(v, X.phonetic_key(F.col("token"), "indic"))
+    return mining.lookalikes(v, X.word_key(F.col("token"), "indic"))
 
 
 # Edges between parts that share name and type with the next key.
@@ -936,6 +937,72 @@ def two_stage_gbt_score(spark, sf_dir):
     return fitted.predict(features, b)
 
 
+# --- resources and rules --------------------------------------------------------
+
+
+@query("SELECT 'S1-' || s_suppkey AS entity_id, s_name || ' \"' || s_suppkey AS business_name, '' AS business_address, 'C' || s_nationkey AS country FROM supplier")
+def tsv_round_trip(spark, sf_dir):
+    """Records written as tab-separated text and read again, with the checks of lines and keys."""
+    k = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S1-"), k).alias("entity_id"), F.concat("s_name", F.lit(' "'), k).alias("business_name"), F.lit("").alias("business_address"), F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("country"))
+    folder = place(spark, "tsv")
+    records.write_tsv(rows, folder)
+    return records.read_tsv(spark, folder, records.RECORD)
+
+
+@query("SELECT 'S1-' || page_id AS entity_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS business_name, url AS business_address, upper(regexp_extract(html, '<html[^>]*lang=\"([a-z]+)\"', 1)) AS country FROM pages")
+def page_records(spark, sf_dir):
+    return adapters.page_records(table(spark, sf_dir, "pages"))
+
+
+@query("SELECT p_partkey, p_brand AS country, p_name AS core, count(*) OVER (PARTITION BY p_brand, p_name) AS core_freq FROM part")
+def core_frequency(spark, sf_dir):
+    return prepare_.core_frequency(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("country"), F.col("p_name").alias("core")))
+
+
+# Answers about pairs of words, as many kinds as the rules tell apart.
+@query("SELECT p_partkey FROM part WHERE p_partkey % 11 / 10 >= 0.6 AND CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 7 / 6 END < 0.5 AND NOT (p_partkey % 3 = 0 AND p_partkey % 4 / 3 >= 0.5)")
+def same_word_answers(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (k % 11 / 10).alias("same"), F.when(k % 5 != 0, k % 7 / 6).alias("different"), F.when(k % 3 == 0, "different").when(k % 3 == 1, "same").alias("relation"), (k % 4 / 3).alias("p_relation"))
+    return judging.same_word(rows).select("p_partkey")
+
+
+@query(
+    """WITH a AS (SELECT p_partkey, ['US', 'INDIA', 'FRANCE'][p_partkey % 3 + 1] AS country, ['name', 'addr'][p_partkey % 2 + 1] AS field, ['r', 'bd', 'mfg', 'svcs', 'x'][p_partkey % 5 + 1] AS token, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE 'word' END AS choice, (p_partkey % 13) / 12 AS p FROM part)
+    SELECT p_partkey FROM a WHERE choice <> 'none' AND p >= CASE WHEN field = 'addr' THEN 0.7 WHEN len(token) <= 2 THEN 0.9 ELSE 0.8 END AND (len(token) > 1 OR (country = 'FRANCE' AND field = 'addr' AND token = 'r'))"""
+)
+def accepted_abbreviations(spark, sf_dir):
+    k = F.col("p_partkey")
+    of = lambda values: F.element_at(X.literals(values), (k % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", of(["US", "INDIA", "FRANCE"]).alias("country"), of(["name", "addr"]).alias("field"), of(["r", "bd", "mfg", "svcs", "x"]).alias("token"), F.when(k % 7 == 0, "none").otherwise("word").alias("choice"), (k % 13 / 12).alias("p"))
+    return judging.accepted_abbreviations(rows).select("p_partkey")
+
+
+# Words of a type and size are one group; groups beyond twelve words go.
+_WORD_EDGES = "e AS (SELECT DISTINCT 'w' || a AS a, 'w' || b AS b FROM (SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_name, p_size ORDER BY p_partkey) AS b FROM part) WHERE b IS NOT NULL), ud AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
+
+
+@query(
+    f"""WITH RECURSIVE {_WORD_EDGES}, c(node, label) AS (SELECT a, a FROM ud UNION SELECT ud.b, c.label FROM c JOIN ud ON ud.a = c.node), l AS (SELECT node, min(label) AS component FROM c GROUP BY 1),
+    n AS (SELECT 'w' || l_partkey AS node, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT l.*, count(*) OVER (PARTITION BY component) AS size, coalesce(n, 0) AS n FROM l LEFT JOIN n USING (node)),
+    k AS (SELECT *, first_value(node) OVER (PARTITION BY component ORDER BY n DESC, len(node), node) AS canonical FROM s WHERE size <= 12)
+    SELECT node AS variant, canonical FROM k WHERE node <> canonical"""
+)
+def unified_words(spark, sf_dir):
+    word = lambda c: F.concat(F.lit("w"), F.col(c).cast("string"))
+    nxt = F.lead("p_partkey").over(Window.partitionBy("p_name", "p_size").orderBy("p_partkey"))
+    edges = table(spark, sf_dir, "part").select("p_partkey", nxt.alias("n")).filter("n is not null").select(word("p_partkey").alias("a"), word("n").alias("b"))
+    counts = table(spark, sf_dir, "lineitem").groupBy(word("l_partkey").alias("token")).agg(F.count("*").alias("n"))
+    return judging.unified(edges, counts)
+
+
+@query()
+def padded_phrases(spark, sf_dir):
+    """Swaps of a word and a phrase that says it with more words."""
+    return judging.padded_phrases(mining.swaps(_text_pairs(spark, sf_dir), "a", "b")).select("a", "b", "n")
+
+
 # --- documented alternatives that SQL expresses -------------------------------
 
 

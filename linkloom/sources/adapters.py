@@ -39,15 +39,14 @@ def part_truth(part: DataFrame) -> DataFrame:
 
 
 def document_records(documents: DataFrame) -> DataFrame:
-    """Source 1: the first document of each text. Sources 2 (even) and 3 (odd): its other copies. Name: the first six words."""
+    """Source 1: the first document of each text. Sources 2 (even) and 3 (odd): its other copies. Name: the words of its text."""
     text = F.coalesce("text", F.lit(""))
     firsts = documents.groupBy(F.md5(text).alias("h")).agg(F.min("doc_id").alias("first"))
     rows = documents.withColumn("h", F.md5(text)).join(firsts, "h")
     source = F.when(F.col("doc_id") == F.col("first"), "S1-").when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-")
-    words = F.slice(F.split(F.trim(F.regexp_replace(text, r"[\s]+", " ")), " "), 1, 6)
     return rows.select(
         F.concat(source, F.col("doc_id").cast("string")).alias("entity_id"),
-        F.array_join(words, " ").alias("business_name"),
+        F.trim(F.regexp_replace(text, r"\s+", " ")).alias("business_name"),
         F.col("source").alias("business_address"),
         F.upper("lang").alias("country"),
         F.when(F.col("doc_id") != F.col("first"), F.concat(F.lit("S1-"), F.col("first").cast("string"))).alias("true_s1_id"),

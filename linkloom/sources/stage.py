@@ -5,20 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet in the folder of ``spark.checkpoint.dir`` and read it again.
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``.
 
-    Lost executors cost only the work since; plans on top stay small. Where the
-    setting is missing (local tests) a temporary folder is made and set.
+    Where the setting is missing in local mode (tests) a temporary folder is made and set.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet in that folder and read it again.
+
+    Lost executors cost only the work since; plans on top stay small.
+    """
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
