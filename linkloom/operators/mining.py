@@ -74,7 +74,8 @@ def partners(swapped: DataFrame, min_rate: float = 0.03, most: int = 4) -> DataF
 def lookalikes(vocab: DataFrame, key: Column, per_key: int = 5) -> DataFrame:
     """(key, a, b) with a < b of words that share a key, among each key's most frequent; words without a key go first."""
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "token"))
-    top = vocab.withColumn("key", key).filter("key <> ''").withColumn("_r", best).filter(F.col("_r") <= per_key)
+    # a key that hangs on the count is made once for each word, not pushed below the counting to each occurrence
+    top = vocab.withColumn("key", F.when(F.col("n") > 0, key)).filter("key <> ''").withColumn("_r", best).filter(F.col("_r") <= per_key)
     # per_key words at most
     words = top.groupBy("key").agg(F.collect_list("token").alias("words")).filter(F.size("words") > 1)
     pairs = F.expr("flatten(transform(words, x -> transform(filter(words, y -> y > x), y -> struct(x as a, y as b))))")

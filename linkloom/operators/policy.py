@@ -57,7 +57,7 @@ def tune_thresholds(pairs: DataFrame, score: str, s1: DataFrame, points: DataFra
 
     ``pairs``: s1_id, s23_id, the score, y (0 or 1). ``s1``: s1_id, n_true. Assignment does not depend on the
     thresholds. Each entity's winners become counts above each second threshold, so a group's size doesn't matter;
-    every point is one mean in one aggregate over the entities.
+    an entity makes a row for each second threshold, and one aggregate takes the means for all first ones.
     """
     points = points if points is not None else grid(pairs.sparkSession)
     listed = [(r.t1, r.t2) for r in points.collect()]
@@ -67,17 +67,18 @@ def tune_thresholds(pairs: DataFrame, score: str, s1: DataFrame, points: DataFra
     best = F.min_by(F.struct("h", "y"), F.struct(-F.col(score), "s23_id")).alias("best")
     entity = won.groupBy("s1_id").agg(*[count(t, F.lit(1)).alias(f"n{t}") for t in seconds], *[count(t, F.col("y")).alias(f"y{t}") for t in seconds], best)
     rows = s1.select("s1_id", "n_true").join(entity, "s1_id", "left").withColumns({"top": F.col("best.h"), "top_y": F.coalesce("best.y", F.lit(0))})
-
-    def point(t1: int, t2: int):
-        # the best pair counts from t1 on even if it lies below t2
-        live = F.coalesce(F.col("top") >= t1, F.lit(False))
-        lone = F.when(F.col("top") < t2, 1).otherwise(0)
-        return F.avg(f05(F.when(live, F.col(f"y{t2}") + lone * F.col("top_y")).otherwise(0), F.when(live, F.col(f"n{t2}") + lone).otherwise(0), F.col("n_true")))
-
-    # a row for all entities, then one for each point
-    means = rows.agg(*[point(a, b).alias(f"f{a}_{b}") for a, b in listed])
-    each = F.explode(F.array(*[F.struct(F.lit(a).alias("t1"), F.lit(b).alias("t2"), F.col(f"f{a}_{b}").alias("macro_f05")) for a, b in listed])).alias("g")
-    return means.select(each).select("g.*").orderBy(F.desc(F.round("macro_f05", 12)), "t1", "t2")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t2"), F.col(f"n{t}").alias("n"), F.col(f"y{t}").alias("y")) for t in seconds])).alias("at")
+    spread = rows.select("n_true", "top", "top_y", each).select("n_true", "top", "top_y", "at.*")
+    # the best pair counts from t1 on even if it lies below t2
+    lone = F.when(F.col("top") < F.col("t2"), 1).otherwise(0)
+    found = f05(F.col("y") + lone * F.col("top_y"), F.col("n") + lone, F.col("n_true"))
+    spread = spread.select("t2", "top", found.alias("found"), f05(F.lit(0), F.lit(0), F.col("n_true")).alias("nothing"))
+    mean = lambda t1: F.avg(F.when(F.col("top") >= t1, F.col("found")).otherwise(F.col("nothing")))
+    firsts = sorted({a for a, _ in listed})
+    means = spread.groupBy("t2").agg(*[mean(t).alias(f"m{t}") for t in firsts])
+    points_ = F.explode(F.array(*[F.struct(F.lit(t).alias("t1"), F.col(f"m{t}").alias("macro_f05")) for t in firsts])).alias("g")
+    wanted = [a * 1000 + b for a, b in listed]
+    return means.select("t2", points_).select("g.t1", "t2", "g.macro_f05").filter((F.col("t1") * 1000 + F.col("t2")).isin(*wanted)).orderBy(F.desc(F.round("macro_f05", 12)), "t1", "t2")
 
 
 def id_lists(matches: DataFrame, s1: DataFrame, column: str = "matched_entity_ids") -> DataFrame:
