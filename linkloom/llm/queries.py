@@ -86,5 +86,29 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+# The checksum goes byte by byte through the usual table, the shard step by step through the published generator.
+OP4_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), d AS (
+  SELECT row_number() OVER () AS id, CAST(doc_id AS BIGINT) AS doc_id, encode(coalesce(text, '')) AS body FROM documents
+), k AS (
+  SELECT id, doc_id, octet_length(body) + 8 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(body), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8))) AS text_crc32
+  FROM d, crc
+), jumps(id, state, place) AS (
+  SELECT id, CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), chr(10) || 'null'))[1:16] AS HUGEINT), CAST(0 AS BIGINT) FROM d
+  UNION ALL
+  SELECT id, next, CAST(floor((place + 1) * (2147483648.0::DOUBLE / CAST(next // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT id, place, (state * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM jumps WHERE place < 25)
+), s AS (
+  SELECT id, CAST(max(place) FILTER (place < 24) AS INTEGER) AS shard, CAST(max(place) FILTER (place < 25) AS INTEGER) AS grown_shard FROM jumps GROUP BY id
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32)[1:4] AS BIGINT) % 256, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM k JOIN s USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_bit_sliced_topk": OP6_SQL}
+    return {"op4_jump_sharding": OP4_SQL, "op6_bit_sliced_topk": OP6_SQL}

@@ -76,7 +76,8 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     high, low = key_halves(F.col(key))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), high.alias("_h"), low.alias("_l"))
-    mixed = F.xxhash64("doc_id", "text_crc32")
+    # digests again, so that other engines can number rows alike; rows of one key with different texts part
+    mixed = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_crc32").cast("string"))), 1, 4), 16, 10).cast("long")
     both = jump_hash(F.col("_h"), F.col("_l"), shards, shards + 1)
     rows = rows.select("doc_id", "size", "text_crc32", both.alias("_s"), F.pmod(mixed, F.lit(SLOT_BUCKETS)).cast("int").alias("_bucket"))
     rows = rows.select("doc_id", "size", "text_crc32", F.col("_s")[0].alias("shard"), F.col("_s")[1].alias("grown_shard"), "_bucket")
