@@ -8,8 +8,12 @@ repaired by encoding its surroundings anew, widened on both sides to the nearest
 place at which every encoding of the text must agree: after a visible ASCII
 character that a blank or line feed follows. No match of the splitting pattern
 reaches from such a character into the white space, so the ids on either side
-are exactly those of the whole text. A chunk without such a place joins the
-repair as a whole.
+are exactly those of the whole text. A chunk without such a place, as in scripts
+that set no blanks, is kept with the ends of its words (matches of the splitting
+pattern): the text before it is split anew into the chunk until a word ends where
+one of the chunk's ends. From there both splits agree, as a match depends on what
+follows alone, so the chunk's ids hold from there to the last word that no text
+behind the chunk can change. A chunk that never agrees joins the repair as a whole.
 
 Defined cases: a null text is encoded as an empty one and gives no ids.
 Strings of special tokens become their ids, as in the library. Ids beyond the
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import OrderedDict
 
 import numpy as np
@@ -35,25 +40,67 @@ from .tokenizers_io import byte_bpe
 #: Chunks have about 2 ** CHUNK_BITS bytes.
 CHUNK_BITS = 10
 REMEMBERED_BYTES = 48 << 20
+#: The words at a chunk's end that what follows could change.
+_OPEN_WORDS = 2
 _FIRST = re.compile(rb"[!-~](?=[ \n])")
 _LAST = re.compile(rb"(?s:.*)[!-~](?=[ \n])")
 
 
+def _settled(text: str) -> bool:
+    """Whether all characters are of a class that has not changed since Unicode 3.2, so that pattern engines agree on them."""
+    old = unicodedata.ucd_3_2_0.category
+    return all(old(c) != "Cn" and old(c)[0] == unicodedata.category(c)[0] for c in set(text))
+
+
+class Split:
+    """A chunk by its words: places (bytes) where words end, ids up to the last of these, and the places where ids end."""
+
+    def __init__(self, ends: np.ndarray, ids: bytes, id_ends: np.ndarray):
+        self.ends, self.ids, self.id_ends = ends, ids, id_ends
+        self.size = ends.nbytes + len(ids) + id_ends.nbytes
+
+    def from_(self, place: int) -> bytes:
+        """The ids behind a place where a word ends."""
+        return self.ids[4 * (int(np.searchsorted(self.id_ends, place)) + 1) :]
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; ``encoded`` and ``reused`` count chunks."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         self.bpe = byte_bpe(path)
         self.special = re.compile("(" + "|".join(map(re.escape, self.bpe.special)) + ")") if self.bpe.special else None
-        self.known: OrderedDict[bytes, tuple[bytes, bytes, bytes] | None] = OrderedDict()
+        self.known: OrderedDict[bytes, tuple[bytes, bytes, bytes] | Split | None] = OrderedDict()
         self.held, self.most = 0, remembered
         self.encoded = self.reused = 0
 
     def _ids(self, raw: bytes) -> bytes:
         return np.array(self.bpe.encode_ordinary(raw.decode("utf-8", "surrogatepass")), "<u4").tobytes() if raw else b""
 
-    def _chunk(self, raw: bytes) -> tuple[bytes, bytes, bytes] | None:
-        """Head, ids of the middle, tail; None if no place in the chunk is certain."""
+    def _word_ends(self, text: str) -> np.ndarray:
+        return np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in self.bpe.split.findall(text)], dtype=np.int64)
+
+    def _split(self, raw: bytes) -> Split | None:
+        """A chunk by its words; None if it has too few, or characters on which engines could differ."""
+        text = raw.decode("utf-8", "surrogatepass")
+        if not _settled(text):
+            return None
+        ends = self._word_ends(text)[:-_OPEN_WORDS]
+        if not len(ends):
+            return None
+        ids = self._ids(raw[: ends[-1]])
+        return Split(ends, ids, np.cumsum(self.bpe.sizes[np.frombuffer(ids, "<u4")]))
+
+    def _agreement(self, seam: bytes, chunk: bytes, known: Split) -> int | None:
+        """The first place in the chunk where the split of seam and chunk has a word's end that the chunk's own split has."""
+        text = (seam + chunk).decode("utf-8", "surrogatepass")
+        if seam and not _settled(seam.decode("utf-8", "surrogatepass")):
+            return None
+        both = np.intersect1d(self._word_ends(text) - len(seam), known.ends, assume_unique=True)
+        return int(both[0]) if len(both) else None
+
+    def _chunk(self, raw: bytes) -> tuple[bytes, bytes, bytes] | Split | None:
+        """Head, ids of the middle, tail; the chunk by its words if no place in it is certain; None if that can't be."""
         key = hashlib.blake2b(raw, digest_size=16).digest()
         if key in self.known:
             self.known.move_to_end(key)
@@ -62,17 +109,21 @@ class ChunkEncoder:
         self.encoded += 1
         first = _FIRST.search(raw)
         if first is None:
-            found = None
+            found = self._split(raw)
         else:
             a, b = first.end(), _LAST.match(raw).end()
             found = raw[:a], self._ids(raw[a:b]), raw[b:]
         self.known[key] = found
-        self.held += 300 + (sum(map(len, found)) if found else 0)
+        self.held += self._size(found)
         while self.held > self.most:
             _, old = self.known.popitem(last=False)
-            self.held -= 300 + (sum(map(len, old)) if old else 0)
+            self.held -= self._size(old)
         return found
 
+    @staticmethod
+    def _size(found) -> int:
+        return 300 + (0 if found is None else found.size if isinstance(found, Split) else sum(map(len, found)))
+
     def _plain(self, raw: bytes, cuts: np.ndarray) -> bytes:
         out, seam, at = [], b"", 0
         for cut in [*cuts.tolist(), len(raw)]:
@@ -83,7 +134,15 @@ class ChunkEncoder:
             chunk = raw[at:cut]
             at = cut
             parts = self._chunk(chunk)
-            if parts is None:
+            if isinstance(parts, Split):
+                place = self._agreement(seam, chunk, parts)
+                if place is None:
+                    seam += chunk
+                else:
+                    out.append(self._ids(seam + chunk[:place]))
+                    out.append(parts.from_(place))
+                    seam = chunk[parts.ends[-1] :]
+            elif parts is None:
                 seam += chunk
             else:
                 out.append(self._ids(seam + parts[0]))

@@ -131,6 +131,9 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.special = special
         self.split = regex.compile(pattern)
+        #: Bytes of each id.
+        self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(x) for x in ranks]
         self.path, self._tokenizer = path, None
 
     @property

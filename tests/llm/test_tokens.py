@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from linkloom.llm import bpe_codec, packing, token_counts
+from linkloom.llm import kernels as K
 from linkloom.llm.tokenizers_io import word_bpe
 
 from . import corpus
@@ -57,6 +58,30 @@ def test_chunks_are_reused():
     assert e.encoded - before <= 4 and e.reused >= before - 4
 
 
+def japanese(n, seed=0):
+    """Text without blanks: runs of kana and kanji, closed by Japanese marks and numbers."""
+    x, out = seed * 31 + 7, []
+    for _ in range(n):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        k = x >> 33
+        out.append("".join(chr(0x3042 + (k >> (5 * j)) % 60) for j in range(2 + k % 4)) + ("。", "、", "", chr(0x4E00 + k % 900), str(k % 50), "\n")[k % 6])
+    return "".join(out)
+
+
+def test_chunks_without_blanks_are_reused_and_exact():
+    e = bpe_codec.ChunkEncoder(BYTE)
+    shared = japanese(9000)
+    for t in (shared, "前書き" + shared, shared[37:] + "後", japanese(300, 5) + shared[5000:12000] + "x" + shared[:3000], "\U0001fae9" + shared[:4000], shared[:4000] + "\u0378" + shared[4000:9000]):
+        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == library_byte.encode(t, add_special_tokens=False).ids
+    e = bpe_codec.ChunkEncoder(BYTE)
+    e.encode([shared])
+    before = e.encoded
+    kept = [f for f in e.known.values() if isinstance(f, bpe_codec.Split)]
+    assert before > 20 and len(kept) >= 0.9 * before and sum(f.ends[-1] for f in kept) > 0.8 * len(shared.encode())
+    e.encode(["移動" + shared])
+    assert e.encoded - before <= 4 and e.reused >= before - 4
+
+
 def test_memory_is_bounded():
     e = bpe_codec.ChunkEncoder(BYTE, remembered=50_000)
     for k in range(20):
@@ -64,6 +89,15 @@ def test_memory_is_bounded():
     assert e.held <= 50_000
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("あア漢 字。、\n1a'", max_size=400), st.integers(2, 6))
+def test_any_text_in_small_chunks(t, bits):
+    """Many joins: chunks of a few bytes, with and without blanks."""
+    raw, e = t.encode(), bpe_codec.ChunkEncoder(BYTE)
+    cuts = K.gear_cuts([raw], bits)[0]
+    assert np.frombuffer(e._plain(raw, cuts), "<u4").tolist() == library_byte.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.characters(codec="utf-8"), max_size=80), st.text("ab '.\n ́é1", max_size=60))
 def test_any_text(a, b):
