@@ -18,12 +18,13 @@ the fewest values of its own, the nearest to what the list has in common.
 Candidates pass an estimate of the Jaccard similarity from the sketch of the
 union, with a margin of over five standard errors, and are confirmed on full sets.
 
-Pivots may leave a long list in several components. The classes of such lists meet
-once more by their full sets (``open_links``): among the first n - ceil(0.75 n) + 1
-values of a set, in the order of how many of these classes hold a value, lies one
-that any class at the threshold shares. Short lists give the pairs of different
-components. Where a list is long even so, classes outside the main component of the
-lists that hang together are compared with all of these in blocks, on full sets.
+Pivots may leave a long list in several components (``open_links``). Such lists hang
+together by common members in families, and the classes outside a family's main
+component are compared with all of it in blocks, on full sets. Families in which that
+would take over ``MOST_COMPARISONS`` go another way to the same links: among the first
+n - ceil(0.75 n) + 1 values of a full set, in the order of how many of these classes
+hold a value, lies one that any class at the threshold shares. Short lists of these
+give the pairs of different components, and only what is in long ones meets in blocks.
 Nothing is capped, and no link between components is lost.
 
 Defined cases: a document without text or words has an empty set, its own
@@ -54,6 +55,8 @@ SHORT = 16
 #: Standard errors that an estimate may be off.
 MARGIN = 5.5
 BLOCK_CLASSES = 256
+#: Comparisons of two classes in blocks, for one family; beyond, lists of full sets come first. Either way finds the same.
+MOST_COMPARISONS = 1 << 30
 #: A list is heavy when it has this share of the classes; a class is in SKETCH lists at most, so they are few.
 HEAVY_SHARE = 1e-3
 #: Rows of ids that are broadcast at most (16 MB); more go through a shuffled join.
@@ -316,13 +319,26 @@ def contracted(long_: DataFrame) -> DataFrame:
     return skew_lookup(first, "first", labels).select("node", F.coalesce("family", "first").alias("family"))
 
 
-def open_links(lists_: DataFrame, label: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
+def open_links(lists_: DataFrame, label: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, most: int = MOST_COMPARISONS) -> DataFrame | None:
     """Links between components within long lists (node, key) that the pivots left; None if there is no such list."""
     placed = written(skew_lookup(lists_, "node", label).select("node", "key", F.coalesce("component", "node").alias("component")), "placed")
     parts = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", F.lit(True).alias("open"))
-    open_ = written(skew_lookup(placed, "key", written(parts, "parts")).filter("open").select("node", "component").distinct(), "open")
+    open_ = written(skew_lookup(placed, "key", written(parts, "parts")).filter("open").select("node", "key", "component"), "open")
     if open_.isEmpty():
         return None
+    members = written(contracted(open_.select("node", "key")).join(open_.select("node", "component").distinct(), "node"), "members")
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("m")).groupBy("family").agg((F.sum("m") * (F.sum("m") - F.max("m"))).alias("work"))
+    routed = written(skew_lookup(members, "family", written(sizes, "sizes")), "routed")
+    in_blocks, in_lists = (routed.filter(c).select("node", "family", "component") for c in (F.col("work") <= most, F.col("work") > most))
+    links = family_links(in_blocks, full_sets(docs, in_blocks.select("node"), words), percent)
+    if not in_lists.isEmpty():
+        more = list_links(in_lists.select("node", "component"), docs, words, percent)
+        links = more if links is None else links.unionByName(more)
+    return links
+
+
+def list_links(open_: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links between components of classes (node, component) by lists of the rarest values of full sets."""
     sets = written(full_sets(docs, open_.select("node"), words), "open-sets")
     size = F.size("values")
     values = written(sets.select("node", size.alias("n"), size.alias("size"), F.explode("values").alias("key")), "open-values")
@@ -333,12 +349,11 @@ def open_links(lists_: DataFrame, label: DataFrame, docs: DataFrame, words: int
     of = open_.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(open_.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(of, "b").filter("ca <> cb").select("a", "b")
     links = written(verified(written(apart, "apart"), sets, percent), "open-links")
-    long_ = met.filter("key is not null").select("node", "key")
+    long_ = written(met.filter("key is not null").select("node", "key"), "open-long")
     if long_.isEmpty():
         return links
-    members = written(contracted(long_).join(open_, "node"), "members")
-    more = family_links(members, sets, percent)
-    return links if more is None else written(links.unionByName(more), "open-links")
+    more = family_links(written(contracted(long_).join(open_, "node"), "members"), sets, percent)
+    return links if more is None else links.unionByName(more)
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -152,10 +152,13 @@ def test_lists_by_length(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def test_templates_larger_than_the_pivots_reach(spark):
-    """One page filled in many ways: slots from few choices, so all values are common and components many."""
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_templates_larger_than_the_pivots_reach(spark, monkeypatch, most):
+    """Both ways from open lists to links. One page filled in many ways: slots from few choices, so all values are common and components many."""
     import random
 
+    plain = near_dedup.open_links
+    monkeypatch.setattr(near_dedup, "open_links", lambda *a: plain(*a, most=most))
     r = random.Random(5)
     slots = [[" ".join(f"t{s}c{c}w{i}" for i in range(9)) for c in range(3)] for s in range(12)]
     texts = [" ".join(r.choice(s[: 1 + (k % 3)]) for s in slots) for k in range(150)]
