@@ -68,15 +68,19 @@ def skew_lookup(big: DataFrame, key: str, small: DataFrame, wide: bool = False)
     Keys with ``HOT_SHARE`` of ``big``'s rows or more number 1,000 at most; their
     few rows of ``small`` are broadcast, or, where rows of ``small`` are ``wide`` and so
     have no bound, dealt with ``big``'s over salts, as many as the key's rows need. All other rows go
-    through a shuffled join in which no key has more than that share. Null keys get
-    nulls. ``big`` is read three times and should be a written table.
+    through a shuffled join in which no key has more than that share. Where no key is
+    hot, one goes the hot keys' way, so that the plan is alike with and without them.
+    Null keys get nulls. ``big`` is read three times and should be a written table.
     """
     rows = big.count()
     least = max(2, int(rows * HOT_SHARE) + 1)
     added = [c for c in small.columns if c != key]
     if rows <= FEW_ROWS:
         return big.join(small, key, "left").select(*big.columns, *added)
-    counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    known = big.filter(F.col(key).isNotNull())
+    counts = written(known.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), "hot-keys")
+    if counts.isEmpty():
+        counts = written(known.select(key, F.lit(1).cast("long").alias("_n")).limit(1), "hot-keys")
     if wide:
         salts = written(counts.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_hot")), "hot")
         joined = big.join(F.broadcast(salts), key, "left")
@@ -85,7 +89,8 @@ def skew_lookup(big: DataFrame, key: str, small: DataFrame, wide: bool = False)
         first = dealt.join(copies, [key, "_salt"], "left").select(*big.columns, *added)
         hot = salts
     else:
-        hot = written(small.join(F.broadcast(counts.select(key)), key, "left_semi").withColumn("_hot", F.lit(True)), "hot")
+        found = written(small.join(F.broadcast(counts.select(key)), key, "left_semi"), "found")
+        hot = written(counts.select(key).join(F.broadcast(found), key, "left").withColumn("_hot", F.lit(True)), "hot")
         joined = big.join(F.broadcast(hot), key, "left")
         first = joined.filter(F.col("_hot").isNotNull()).select(*big.columns, *added)
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")

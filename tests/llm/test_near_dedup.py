@@ -194,3 +194,12 @@ def test_a_text_of_fifty_megabytes(spark):
     long_ = " ".join(f"{i:07d}" for i in range(50 << 17))
     sets = near_dedup.shingle_sets([long_])
     assert len(sets[0]) == (50 << 17) - 4
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("key", ["id", "cast(null as long)", "id % 2500"])
+def test_lookup_without_hot_keys(spark, key, wide):
+    big = written(spark.range(5000).selectExpr(f"{key} AS k", "id"), "big")
+    small = spark.range(0, 5000, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = {(r.id, r.v) for r in skew_lookup(big, "k", small, wide=wide).collect()}
+    assert got == {(r.id, r.v) for r in big.join(small, "k", "left").select("id", "v").collect()} and len(got) == 5000
