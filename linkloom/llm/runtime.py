@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -56,7 +57,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 #: A key is hot when it has this share of the rows at least, so there are at
-#: most 1 / HOT_SHARE hot keys: the proven bound of what is broadcast.
+#: most 1 / HOT_SHARE hot keys: the proven bound of what is collected and broadcast.
 HOT_SHARE = 1e-3
 #: A table of so few rows is joined as it is: one task can take them all.
 FEW_ROWS = 4096
@@ -65,36 +66,34 @@ FEW_ROWS = 4096
 def skew_lookup(big: DataFrame, key: str, small: DataFrame, wide: bool = False) -> DataFrame:
     """Left join of ``big`` with ``small`` (unique in ``key``) that no hot key can skew.
 
-    Keys with ``HOT_SHARE`` of ``big``'s rows or more number 1,000 at most; their
+    Keys with ``HOT_SHARE`` of ``big``'s rows or more number 1,000 at most, so they are
+    literals of a filter that parts their rows from the others in the scan. Their
     few rows of ``small`` are broadcast, or, where rows of ``small`` are ``wide`` and so
     have no bound, dealt with ``big``'s over salts, as many as the key's rows need. All other rows go
-    through a shuffled join in which no key has more than that share. Where no key is
-    hot, one goes the hot keys' way, so that the plan is alike with and without them.
-    Null keys get nulls. ``big`` is read three times and should be a written table.
+    through a shuffled join in which no key has more than that share; without hot keys
+    that is the whole join. Null keys get nulls. ``big`` is read three times and should
+    be a written table.
     """
     rows = big.count()
     least = max(2, int(rows * HOT_SHARE) + 1)
     added = [c for c in small.columns if c != key]
+    plain = big.join(small, key, "left").select(*big.columns, *added)
     if rows <= FEW_ROWS:
-        return big.join(small, key, "left").select(*big.columns, *added)
-    known = big.filter(F.col(key).isNotNull())
-    counts = written(known.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), "hot-keys")
-    if counts.isEmpty():
-        counts = written(known.select(key, F.lit(1).cast("long").alias("_n")).limit(1), "hot-keys")
+        return plain
+    counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).collect()
+    if not counts:
+        return plain
+    is_hot = F.coalesce(F.col(key).isin([r[0] for r in counts]), F.lit(False))
+    few = small.filter(is_hot)
     if wide:
-        salts = written(counts.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_hot")), "hot")
-        joined = big.join(F.broadcast(salts), key, "left")
-        copies = small.join(F.broadcast(salts), key).select("*", F.explode(F.sequence(F.lit(0), F.col("_hot") - F.lit(1))).alias("_salt")).drop("_hot")
-        dealt = joined.filter(F.col("_hot").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.col("_hot")).cast("int"))
-        first = dealt.join(copies, [key, "_salt"], "left").select(*big.columns, *added)
-        hot = salts
+        salts = big.sparkSession.createDataFrame([(r[0], -(-r[1] // least)) for r in counts], StructType([big.schema[key], StructField("_hot", IntegerType())]))
+        dealt = big.filter(is_hot).join(F.broadcast(salts), key).withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.col("_hot")).cast("int"))
+        copies = few.join(F.broadcast(salts), key).select("*", F.explode(F.sequence(F.lit(0), F.col("_hot") - F.lit(1))).alias("_salt")).drop("_hot")
+        first = dealt.join(copies, [key, "_salt"], "left")
     else:
-        found = written(small.join(F.broadcast(counts.select(key)), key, "left_semi"), "found")
-        hot = written(counts.select(key).join(F.broadcast(found), key, "left").withColumn("_hot", F.lit(True)), "hot")
-        joined = big.join(F.broadcast(hot), key, "left")
-        first = joined.filter(F.col("_hot").isNotNull()).select(*big.columns, *added)
-    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return first.unionByName(rest.join(small, key, "left").select(*big.columns, *added))
+        first = big.filter(is_hot).join(F.broadcast(few), key, "left")
+    rest = big.filter(~is_hot).join(small, key, "left")
+    return first.select(*big.columns, *added).unionByName(rest.select(*big.columns, *added))
 
 
 def unit(col: Column) -> Column:

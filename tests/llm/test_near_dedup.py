@@ -203,3 +203,13 @@ def test_lookup_without_hot_keys(spark, key, wide):
     small = spark.range(0, 5000, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     got = {(r.id, r.v) for r in skew_lookup(big, "k", small, wide=wide).collect()}
     assert got == {(r.id, r.v) for r in big.join(small, "k", "left").select("id", "v").collect()} and len(got) == 5000
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_lookup_by_hot_digests(spark, wide):
+    """Two digests hold two thirds of the rows, another is null; only one hot digest is known."""
+    digest = F.when(F.col("id") % 3 == 0, F.unhex(F.lit("00ff"))).when(F.col("id") % 3 == 1, F.unhex(F.lit("27"))).when(F.col("id") % 5 > 0, F.encode(F.col("id").cast("string"), "UTF-8"))
+    big = written(spark.range(6000).select(digest.alias("k"), "id"), "big")
+    small = big.filter("id % 2 = 0 and k is not null and k <> unhex('27')").groupBy("k").agg(F.max("id").alias("v"))
+    got = {(r.id, r.v) for r in skew_lookup(big, "k", small, wide=wide).collect()}
+    assert got == {(r.id, r.v) for r in big.join(small, "k", "left").select("id", "v").collect()} and len(got) == 6000
