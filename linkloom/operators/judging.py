@@ -39,14 +39,18 @@ def meaning_requests(words: DataFrame) -> DataFrame:
     return rows.select("token", F.to_json(F.struct(F.col("token").alias("word"), meanings.alias("meanings"))).alias("request"))
 
 
-def transliterations(words: DataFrame, targets: DataFrame, by_key: int = 6, by_spelling: int = 3) -> DataFrame:
-    """(token, candidates): for each word the targets most similar by loan key, then by spelling, without repeats.
+def transliterations(words: DataFrame, targets: DataFrame, by_key: int = 6, by_spelling: int = 3, swapped: DataFrame | None = None, by_swap: int = 4, most_in_all: int = 12) -> DataFrame:
+    """(token, candidates): for each word its swap partners among the targets (``swapped``, as ``mining.swaps`` has them),
+    then the targets most similar by loan key, then by spelling, without repeats.
 
     Pairs come from an equi-join on 3-grams of the key and of the spelling, so nothing is compared that shares none.
     """
     clean = targets.filter(~noisy(F.col("token"))).select(F.col("token").alias("target"))
     out = None
-    for kind, form, most in (("0", X.loan_key, by_key), ("1", lambda c: c, by_spelling)):
+    if swapped is not None:
+        found = mining.partners(swapped, most=by_swap, among=clean.select(F.col("target").alias("partner"))).join(words.select("token"), "token", "left_semi")
+        out = found.select("token", F.posexplode("partners").alias("_r", "target")).filter("token <> target").select("token", "target", F.concat(F.lit("0"), F.lpad(F.col("_r").cast("string"), 3, "0")).alias("order"))
+    for kind, form, most in (("1", X.loan_key, by_key), ("2", lambda c: c, by_spelling)):
         side = lambda df, c, f=form: df.select(c, f(F.col(c)).alias("form")).select(c, "form", F.explode(F.array_distinct(char_grams(F.col("form"), (3,)))).alias("gram"))
         near = side(words, "token").withColumnRenamed("form", "fa").join(side(clean, "target").withColumnRenamed("form", "fb"), "gram").filter("token <> target").select("token", "target", "fa", "fb").distinct()
         scored = near.withColumn("score", similarity(F.col("fa"), F.col("fb"), "ratio")["ratio"])
@@ -54,7 +58,7 @@ def transliterations(words: DataFrame, targets: DataFrame, by_key: int = 6, by_s
         top = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("token", "target", F.concat(F.lit(kind), F.lpad(F.col("_r").cast("string"), 3, "0")).alias("order"))
         out = top if out is None else out.unionByName(top)
     first = out.groupBy("token", "target").agg(F.min("order").alias("order"))
-    return first.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "target"))), lambda x: x["target"]).alias("candidates"))
+    return first.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "target"))), lambda x: x["target"]).alias("candidates")).withColumn("candidates", F.slice("candidates", 1, most_in_all))
 
 
 def fuzzy_canonical(words: DataFrame, cutoff: float = 90) -> DataFrame:

@@ -63,10 +63,12 @@ def swaps(pairs: DataFrame, a: str, b: str, *keys: str, min_count: int = 15, min
     return counted.withColumn("rate", F.col("n") / F.least("occ_a", "occ_b")).filter(F.col("rate") >= min_rate).select(*keys, "a", "b", "n", "rate")
 
 
-def partners(swapped: DataFrame, min_rate: float = 0.03, most: int = 4) -> DataFrame:
-    """(token, partners): a word's swap partners of either direction, most frequent first."""
+def partners(swapped: DataFrame, min_rate: float = 0.03, most: int = 4, among: DataFrame | None = None) -> DataFrame:
+    """(token, partners): a word's swap partners of either direction, most frequent first, of those in ``among`` (partner) if given."""
     good = swapped.filter((F.col("rate") >= min_rate) & ~F.col("a").contains(" ") & ~F.col("b").contains(" "))
     both = good.select(F.col("a").alias("token"), F.col("b").alias("partner"), "n").unionByName(good.select(F.col("b").alias("token"), F.col("a").alias("partner"), "n"))
+    if among is not None:
+        both = both.join(among.distinct(), "partner", "left_semi")
     top = both.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("n"), "partner"))).filter(F.col("_r") <= most)
     return top.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "partner"))), lambda x: x["partner"]).alias("partners"))
 

@@ -865,6 +865,14 @@ def transliteration_candidates(spark, sf_dir):
     return judging.transliterations(v.filter("n >= 3").select("token"), v.filter("n >= 20").select("token"))
 
 
+@query()
+def transliteration_partners(spark, sf_dir):
+    """The same over the words of text pairs, where mined swap partners come first."""
+    pairs = _text_pairs(spark, sf_dir)
+    v = pairs.select(F.explode(F.split(F.concat_ws(" ", "a", "b"), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return judging.transliterations(v.filter("n >= 3").select("token"), v.filter("n >= 20").select("token"), swapped=mining.swaps(pairs, "a", "b"))
+
+
 @query()
 def similar_words(spark, sf_dir):
     return mining.similar_words(_vocab(spark, sf_dir).filter("n >= 30"))

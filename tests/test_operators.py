@@ -98,6 +98,19 @@ def test_transliteration_candidates_of_frequent_words(spark, tmp_path):
     assert got == {"limitid": ["limited"], "limitad": ["limited"]}
 
 
+def test_swap_partners_come_first(spark):
+    """Partners that are no targets don't use up places; words without partners have the others' candidates only."""
+    from linkloom.operators import judging
+
+    rows = [("phuds", w, 50 - i, 0.5) for i, w in enumerate(["xylem", "foods", "meals", "grub", "fare", "snacks"])] + [("phuds", "rarely", 90, 0.01), ("two words", "phuds", 80, 0.5), ("stor", "phuds", 1, 0.5)]
+    swapped = spark.createDataFrame(rows, "a string, b string, n long, rate double")
+    words = spark.createDataFrame([("phuds",), ("stor",), ("qq",)], "token string")
+    targets = spark.createDataFrame([(w,) for w in ("foods", "meals", "grub", "fare", "snacks", "store", "rarely")], "token string")
+    got = {r.token: r.candidates for r in judging.transliterations(words, targets, swapped=swapped).collect()}
+    assert got["phuds"][:4] == ["foods", "meals", "grub", "fare"] and len(set(got["phuds"])) == len(got["phuds"]) <= 12
+    assert "rarely" not in got["phuds"] and got["stor"] == ["store"] and "qq" not in got
+
+
 def test_romanised_reads_whole_texts(spark, tmp_path):
     from linkloom.plans import queries
 
