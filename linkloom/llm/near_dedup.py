@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .runtime import bounded, forget, skew_lookup, written
+from .runtime import bounded, forget, scratch, skew_lookup, written
 
 WORDS = 5
 PERCENT = 75
@@ -373,6 +373,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
     met = skew_lookup(long_, "key", written(pivots, "pivots"))
     stars = [met.select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b")).filter("a < b").distinct() for c in ("p", "q")]
     candidates = written(pairs.unionByName(stars[0]).unionByName(stars[1]).distinct(), "candidates")
+    forget(rare, found)
     links = written(confirmed(written(estimated(candidates, classes, percent), "estimated"), docs, words, percent), "links")
     if not long_.isEmpty():
         more = open_links(long_, components(links), docs, words, percent)
@@ -388,16 +389,20 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[D
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept (doc_id = component_id), one row per row."""
-    rows, classes, links = link(docs, words, percent)
-    label = components(links)
-    known = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "node", "copies").filter("copies > 1 or component <> node")
-    placed = skew_lookup(rows.select("doc_id", "n_shingles", "digest"), "digest", written(known.select("digest", "component"), "known"))
+    with scratch() as keep:
+        rows, classes, links = link(docs, words, percent)
+        label = components(links)
+        known = classes.join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "node", "copies").filter("copies > 1 or component <> node")
+        known = keep(written(known.select("digest", "component"), "known"))
+        keep(rows)
+    placed = skew_lookup(rows.select("doc_id", "n_shingles", "digest"), "digest", known)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each component, whole and unchanged."""
-    gone = written(near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    with scratch() as keep:
+        gone = keep(written(near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone"))
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,10 @@ def work_dir(spark: SparkSession) -> str:
     return base
 
 
+#: The tables written in the innermost ``scratch`` block that is open.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
@@ -32,6 +39,8 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
+    if (made := _MADE.get()) is not None:
+        made.append(table)
     return table
 
 
@@ -44,6 +53,30 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """At its end, delete the tables ``written`` inside but for those that the function it gives was called with.
+
+    These belong to the block around it, if there is one. What leaves the block
+    must be written and kept, or read nothing but kept tables.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    token = _MADE.set(made)
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        forget(*[t for t in made if not any(t is k for k in kept)])
+        if (around := _MADE.get()) is not None:
+            around.extend(kept)
+
+
 #: Bytes of an Arrow batch, so that a Python worker never holds many long texts at once.
 BATCH_BYTES = "4m"
 

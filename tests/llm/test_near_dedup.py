@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm import graph, near_dedup
-from linkloom.llm.runtime import skew_lookup, written
+from linkloom.llm.runtime import skew_lookup, work_dir, written
 
 from . import corpus
 
@@ -213,3 +215,19 @@ def test_lookup_by_hot_digests(spark, wide):
     small = big.filter("id % 2 = 0 and k is not null and k <> unhex('27')").groupBy("k").agg(F.max("id").alias("v"))
     got = {(r.id, r.v) for r in skew_lookup(big, "k", small, wide=wide).collect()}
     assert got == {(r.id, r.v) for r in big.join(small, "k", "left").select("id", "v").collect()} and len(got) == 6000
+
+
+def test_scratch_tables_go(spark):
+    """Only the tables that a result reads are left in the shared folder."""
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    texts = corpus.near_copies(corpus.words(60, 1), 30, 3, 0.06) + ["x y z", None]
+    df = corpus.table(spark, texts)
+    before = set(folder.iterdir())
+    kept = near_dedup.without_duplicates(df)
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["gone"]
+    want = corpus.components(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i)
+    before = set(folder.iterdir())
+    found = near_dedup.near_duplicates(df)
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["known", "signed"]
+    assert {r.doc_id: r.component_id for r in found.collect()} == want
