@@ -86,7 +86,7 @@ def ngram_buckets(b: K.Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             data = K.LOWER[b.data[lo : hi + k - 1]].astype(np.uint32)
             code = np.zeros(data.size, np.uint32)
             for j in range(k):
-                code[: data.size - j] += data[j:]
+                code[: max(0, data.size - j)] += data[j:]  # a last stretch may be shorter than an n-gram
                 code *= np.uint32(0x01000193)
             code ^= code >> np.uint32(15)
             first, end = np.clip(b.starts_of, lo, hi) - lo, np.clip(last, lo, hi) - lo

@@ -21,6 +21,18 @@ def arrangements(df):
     return df.repartition(1), df.repartition(7, "doc_id"), df.orderBy(F.desc("doc_id")).coalesce(1), df.sample(0.5, seed=3)
 
 
+@pytest.mark.parametrize("more", range(6))
+def test_quality_ngrams_of_a_last_stretch_shorter_than_they(monkeypatch, more):
+    monkeypatch.setattr(K, "BLOCK_BYTES", 1 << 22)
+    b = K.Block([(b"some words, " * (K.STRETCH // 12 + 1))[: K.STRETCH + more - 1]])  # and a line feed
+    quality.base_counts(b)
+    got = list(quality.ngram_buckets(b))
+    monkeypatch.setattr(K, "STRETCH", 1 << 21)  # all in one stretch
+    want = {f: at for f, at, _ in quality.ngram_buckets(b)}
+    for f in want:
+        assert (np.concatenate([at for g, at, _ in got if g == f]) == want[f]).all()
+
+
 def test_quality_of_a_text_depends_on_the_text_alone(spark):
     all_ = texts()
     model = quality.Classifier.fit([t or "" for t in all_[:120]], np.array([1.0] * 60 + [0.0] * 60))
