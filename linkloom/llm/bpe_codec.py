@@ -88,16 +88,24 @@ class ChunkEncoder:
         ends = self._word_ends(text)[:-_OPEN_WORDS]
         if not len(ends):
             return None
-        ids = self._ids(raw[: ends[-1]])
+        ids = self._ids_until(raw, ends[-1])
         return Split(ends, ids, np.cumsum(self.bpe.sizes[np.frombuffer(ids, "<u4")]))
 
-    def _agreement(self, seam: bytes, chunk: bytes, known: Split) -> int | None:
-        """The first place in the chunk where the split of seam and chunk has a word's end that the chunk's own split has."""
+    def _ids_until(self, raw: bytes, place: int) -> bytes:
+        """The ids of ``raw`` up to a place where a word ends: of the whole, as a text that ends there could be split otherwise."""
+        ids = self._ids(raw)
+        return ids[: 4 * int(np.searchsorted(np.cumsum(self.bpe.sizes[np.frombuffer(ids, "<u4")]), place, "right"))]
+
+    def _agreement(self, seam: bytes, chunk: bytes, known: Split) -> tuple[int, int] | None:
+        """The first place in the chunk where the split of seam and chunk has a word's end that the chunk's own split has, and one behind the open words that follow."""
         text = (seam + chunk).decode("utf-8", "surrogatepass")
         if seam and not _settled(seam.decode("utf-8", "surrogatepass")):
             return None
-        both = np.intersect1d(self._word_ends(text) - len(seam), known.ends, assume_unique=True)
-        return int(both[0]) if len(both) else None
+        ends = self._word_ends(text) - len(seam)
+        both = np.intersect1d(ends, known.ends, assume_unique=True)
+        if not len(both):
+            return None
+        return int(both[0]), int(ends[min(np.searchsorted(ends, both[0]) + _OPEN_WORDS, len(ends) - 1)])
 
     def _chunk(self, raw: bytes) -> tuple[bytes, bytes, bytes] | Split | None:
         """Head, ids of the middle, tail; the chunk by its words if no place in it is certain; None if that can't be."""
@@ -135,11 +143,12 @@ class ChunkEncoder:
             at = cut
             parts = self._chunk(chunk)
             if isinstance(parts, Split):
-                place = self._agreement(seam, chunk, parts)
-                if place is None:
+                agreed = self._agreement(seam, chunk, parts)
+                if agreed is None:
                     seam += chunk
                 else:
-                    out.append(self._ids(seam + chunk[:place]))
+                    place, behind = agreed
+                    out.append(self._ids_until(seam + chunk[:behind], len(seam) + place))
                     out.append(parts.from_(place))
                     seam = chunk[parts.ends[-1] :]
             elif parts is None:

@@ -82,6 +82,14 @@ def test_chunks_without_blanks_are_reused_and_exact():
     assert e.encoded - before <= 4 and e.reused >= before - 4
 
 
+def test_blanks_before_a_words_end_in_chunks_without_blanks():
+    for t in ("\n\n1a", "漢\n\n1a", "あ\n\n\n漢字a1漢", "漢。\n\n\nあ\n\n1あa漢"):
+        raw = t.encode()
+        for cut in range(len(raw) + 1):
+            e = bpe_codec.ChunkEncoder(BYTE)
+            assert np.frombuffer(e._plain(raw, np.array([cut])), "<u4").tolist() == library_byte.encode(t, add_special_tokens=False).ids
+
+
 def test_memory_is_bounded():
     e = bpe_codec.ChunkEncoder(BYTE, remembered=50_000)
     for k in range(20):
