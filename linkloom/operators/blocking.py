@@ -53,15 +53,19 @@ def fitted(pool: DataFrame, min_df: int = 2, max_df: float | None = 0.01, max_df
     """(grp, gram, idf) over the pool's counts (grp, id, gram, tf): grams in at least min_df and at most max(ceil(max_df * n), floor) of the group's n records."""
     sizes = pool.groupBy("grp").agg(F.countDistinct("id").alias("n"))
     df = pool.groupBy("grp", "gram").agg(F.count("*").alias("df"))
-    kept = df.join(sizes, "grp")
+    kept = df.join(F.broadcast(sizes), "grp")  # groups are few
     if max_df is not None:
         kept = kept.filter((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.ceil(F.col("n") * max_df), F.lit(max_df_floor))))
     return kept.select("grp", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(grp, id, gram, w): (1 + ln tf) * idf over known grams, of length one per record."""
-    raw = counts.join(idf, ["grp", "gram"]).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
+    """(grp, id, gram, w): (1 + ln tf) * idf over known grams, of length one per record.
+
+    Joins of postings are shuffled by a hint: estimates know nothing of the rows that a text explodes into, so Spark
+    would broadcast postings of a table that is small on disk.
+    """
+    raw = counts.join(idf.hint("merge"), ["grp", "gram"]).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     # one record's grams: a small window
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("grp", "id")))
     return raw.select("grp", "id", "gram", (F.col("x") / norm).alias("w"))
@@ -93,7 +97,7 @@ def block_groups(s1: DataFrame, s23: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def top_k(q: DataFrame, d: DataFrame, k: int, min_sim: float = MIN_SIM) -> DataFrame:
     """(s1_id, s23_id, sim): for each id of ``q`` the k most similar of ``d`` by dot product, ties to the smaller id, then the floor."""
-    pairs = q.select("grp", F.col("id").alias("s1_id"), "gram", F.col("w").alias("wq")).join(d.select("grp", F.col("id").alias("s23_id"), "gram", F.col("w").alias("wd")), ["grp", "gram"])
+    pairs = q.select("grp", F.col("id").alias("s1_id"), "gram", F.col("w").alias("wq")).join(d.select("grp", F.col("id").alias("s23_id"), "gram", F.col("w").alias("wd")).hint("merge"), ["grp", "gram"])
     sims = pairs.groupBy("s1_id", "s23_id").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("sim"))
     rank = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("sim"), "s23_id"))
     return sims.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("sim") >= min_sim)).select("s1_id", "s23_id", "sim")
@@ -132,15 +136,15 @@ def word_cosine(pairs: DataFrame, s1: DataFrame, s23: DataFrame, column: str, na
     q, d = weighted(counted(s1), idf), weighted(pool, idf)
     dots = (
         pairs.select("s1_id", "s23_id")
-        .join(q.select(F.col("id").alias("s1_id"), "gram", F.col("w").alias("wq")), "s1_id")
-        .join(d.select(F.col("id").alias("s23_id"), "gram", F.col("w").alias("wd")), ["s23_id", "gram"])
+        .join(q.select(F.col("id").alias("s1_id"), "gram", F.col("w").alias("wq")).hint("merge"), "s1_id")
+        .join(d.select(F.col("id").alias("s23_id"), "gram", F.col("w").alias("wd")).hint("merge"), ["s23_id", "gram"])
         .groupBy("s1_id", "s23_id")
         .agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias(name))
     )
-    return pairs.join(dots, ["s1_id", "s23_id"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return pairs.join(dots.hint("merge"), ["s1_id", "s23_id"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def recall(candidates_: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: true pairs found, all true pairs, their share (0 if there are none)."""
     hit = candidates_.select("s1_id", "s23_id").distinct().withColumn("hit", F.lit(1))
-    return truth.join(hit, ["s1_id", "s23_id"], "left").agg(F.count("hit").alias("found"), F.count("*").alias("total"), (F.count("hit") / F.greatest(F.count("*"), F.lit(1))).alias("recall"))
+    return truth.join(hit.hint("merge"), ["s1_id", "s23_id"], "left").agg(F.count("hit").alias("found"), F.count("*").alias("total"), (F.count("hit") / F.greatest(F.count("*"), F.lit(1))).alias("recall"))

@@ -350,7 +350,7 @@ def candidates_union(spark, sf_dir):
     a = part.select(F.concat(F.lit("S1-"), k.cast("string")).alias("s1_id"), F.col("p_brand").alias("grp"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("name"))
     other = F.when(k % 3 == 0, F.concat_ws(" ", "p_type", "p_name")).otherwise(F.concat_ws(" ", F.col("p_name"), F.col("p_size").cast("string")))
     b = part.select(F.concat(F.lit("S2-"), k.cast("string")).alias("s23_id"), F.col("p_brand").alias("grp"), F.lower(other).alias("name"))
-    near = a.join(b, ["grp", "name"]).select("s1_id", "s23_id", F.lit(0.5).alias("sim"))
+    near = a.join(b.hint("merge"), ["grp", "name"]).select("s1_id", "s23_id", F.lit(0.5).alias("sim"))
     return blocking.union_views({"name": tfidf_topk_name(spark, sf_dir), "same": near})
 
 

@@ -1,6 +1,7 @@
 """Every registered query with SQL gives what DuckDB gives; the others run."""
 
 import math
+import re
 from decimal import Decimal
 from pathlib import Path
 
@@ -50,3 +51,16 @@ def test_entry_module_stands_alone(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["source1_entity_id", "matched_entity_ids"]
+
+
+@pytest.mark.parametrize("name", ["tfidf_postings", "tfidf_topk_name", "blocking_recall", "candidates_union"])
+def test_postings_are_never_broadcast(spark, name):
+    """Tables small on disk explode into many postings, of which Spark's estimates know nothing."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert joins and all(re.search(r"BroadcastHashJoin \[grp#\d+\], ", j) for j in joins)  # with the sizes of groups alone
