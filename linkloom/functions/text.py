@@ -24,9 +24,8 @@ def bound(c: Column, use) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words between white space; no words gives an empty array."""
-    t = F.trim(F.regexp_replace(text(c), r"\s+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    """Words between white space; no words gives an empty array. Names ``c`` once, as each mention would be evaluated."""
+    return F.array_remove(F.split(text(c), r"\s+"), "")
 
 
 def joined(words: Column) -> Column:
