@@ -93,17 +93,69 @@ def abbreviations(vocab: DataFrame, min_short: int = 60, min_long: int = 20, lon
     return hit.withColumn("_r", F.row_number().over(Window.partitionBy("short").orderBy(F.desc("n"), "long"))).filter(F.col("_r") <= per_short).select("short", "long", "n")
 
 
+def _letters(word: Column) -> Column:
+    """A bit for each letter a to z that a word has, and one more if it has it twice or more."""
+    bits = F.lit(0).cast("long")
+    for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz"):
+        n = F.length(word) - F.length(F.replace(word, F.lit(ch), F.lit("")))
+        bits = bits.bitwiseOR(F.when(n > 1, (1 << i) + (1 << (26 + i))).when(n > 0, 1 << i).otherwise(0).cast("long"))
+    return bits
+
+
+def alike(words: DataFrame, targets: DataFrame, least: float) -> DataFrame:
+    """(token, target, form, other) of words (token, form) and targets (target, other) whose forms share a character 3-gram
+    and can be alike at a ratio of ``least`` or more (from 0 to 1); no such pair is left out, and tokens are no targets of their own.
+
+    Each bit of the letters that only one form has is a letter to remove, so pairs are dropped where they are joined,
+    before anything is shuffled or scored. Frequent grams are spread over salts.
+    """
+    from .blocking import char_grams
+
+    salts = 16
+    side = lambda df, k, c: df.select(k, c, F.length(c).alias(f"{c}_n"), _letters(F.col(c)).alias(f"{c}_m"), F.explode(F.array_distinct(char_grams(F.col(c), (3,)))).alias("gram"))
+    w = side(words, "token", "form").withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(salts)).cast("int"))
+    t = side(targets, "target", "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = w.join(t.hint("merge"), ["gram", "salt"]).filter("token <> target")
+    if least > 0:
+        both = both.filter(F.bit_count(F.col("form_m").bitwiseXOR(F.col("other_m"))) <= (F.col("form_n") + F.col("other_n")) * (1 - least) + 1e-6)
+    return both.select("token", "target", "form", "other").distinct()
+
+
 def similar_words(vocab: DataFrame, cutoff: float = 85, top: int = 5) -> DataFrame:
     """(token, other, score): the most similar words by ratio, among those that share a character 3-gram."""
     from ..functions.udf import similarity
-    from .blocking import char_grams
 
-    grams = vocab.select("token", F.explode(F.array_distinct(char_grams(F.col("token"), (3,)))).alias("gram"))
-    near = grams.join(grams.withColumnRenamed("token", "other"), "gram").filter("token <> other").select("token", "other").distinct()
-    scored = near.withColumn("score", similarity(F.col("token"), F.col("other"), "ratio")["ratio"] * 100).filter(F.col("score") >= cutoff)
+    words = staged(vocab.select("token"), "words")
+    near = alike(words.withColumn("form", F.col("token")), words.select(F.col("token").alias("target"), F.col("token").alias("other")), cutoff / 100)
+    scored = near.select("token", "other", (similarity(F.col("form"), F.col("other"), "ratio")["ratio"] * 100).alias("score")).filter(F.col("score") >= cutoff)
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "other"))).filter(F.col("_r") <= top).drop("_r")
 
 
+#: The ratios from which ``nearest`` looks for targets, one after the other; the last leaves none out.
+NEARNESS = (0.75, 0.6, 0.0)
+
+
+def nearest(words: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(token, target, rank): for each of words (token, form) the ``most`` targets (target, other) most similar by ratio among those that
+    share a 3-gram, ties to the smaller target.
+
+    A word with ``most`` targets at one ratio or more has its best among them; only the others go on to the next, lower ratio.
+    """
+    from ..functions.udf import similarity
+
+    out = None
+    for least in NEARNESS:
+        scored = alike(words, targets, least).select("token", "target", similarity(F.col("form"), F.col("other"), "ratio")["ratio"].alias("score")).filter(F.col("score") >= least)
+        w = Window.partitionBy("token").orderBy(F.desc("score"), "target")
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("token", "target", "rank")
+        if least > 0:
+            best = staged(best, "nearest")
+            full = best.filter(F.col("rank") == most).select("token")
+            best, words = best.join(full, "token", "left_semi"), staged(words.join(full, "token", "left_anti"), "words")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def script_audit(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, script, share): the share of a group's rows that hold letters of each script but ascii."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"))

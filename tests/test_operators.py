@@ -118,3 +118,21 @@ def test_romanised_reads_whole_texts(spark, tmp_path):
     (row,) = queries.romanised(spark, str(tmp_path)).collect()
     last = row.latin.split()[-1]
     assert len(row.latin.split()) == 8 and last.isascii() and last.startswith("r")
+
+
+def test_nearest_words_are_those_of_all_pairs(spark):
+    """Filters by letters and steps of ratios leave out no word that a comparison of all pairs finds."""
+    from linkloom.functions import kernels as K
+
+    text = "trading traders trade raiding shop shoppe shoop shops bread broad board hoard aab aabb abab bbaa oo ooo zx zxq qzx lenient lenses rents spent ent entente".split()
+    grams = lambda w: {f" {w} "[i : i + 3] for i in range(max(1, len(w)))}
+    pairs_ = {(a, b): K.ratio(a, b) for a in text for b in text if a != b and grams(a) & grams(b)}
+    best = {a: [b for _, b in sorted((-r, b) for (x, b), r in pairs_.items() if x == a)] for a in text}
+    words = spark.createDataFrame([(w, w) for w in text], "token string, form string")
+    for most in (1, 3, 6):
+        got = mining.nearest(words, words.toDF("target", "other"), most).collect()
+        assert {(r.token, r.target, r["rank"]) for r in got} == {(a, b, i + 1) for a in text for i, b in enumerate(best[a][:most])}
+    got = {(r.token, r.other) for r in mining.similar_words(words, 70, 50).collect()}
+    assert got == {p for p, r in pairs_.items() if r >= 70}
+    plan = mining.alike(words, words.toDF("target", "other"), 0.85)._jdf.queryExecution().executedPlan().toString()
+    assert "bit_count" in plan  # unlike pairs go where they are joined
