@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from ..functions.udf import similarity
+from ..sources.stage import staged
 from . import mining
 from .blocking import char_grams
 
@@ -51,11 +52,9 @@ def transliterations(words: DataFrame, targets: DataFrame, by_key: int = 6, by_s
         found = mining.partners(swapped, most=by_swap, among=clean.select(F.col("target").alias("partner"))).join(words.select("token"), "token", "left_semi")
         out = found.select("token", F.posexplode("partners").alias("_r", "target")).filter("token <> target").select("token", "target", F.concat(F.lit("0"), F.lpad(F.col("_r").cast("string"), 3, "0")).alias("order"))
     for kind, form, most in (("1", X.loan_key, by_key), ("2", lambda c: c, by_spelling)):
-        side = lambda df, c, f=form: df.select(c, f(F.col(c)).alias("form")).select(c, "form", F.explode(F.array_distinct(char_grams(F.col("form"), (3,)))).alias("gram"))
-        near = side(words, "token").withColumnRenamed("form", "fa").join(side(clean, "target").withColumnRenamed("form", "fb"), "gram").filter("token <> target").select("token", "target", "fa", "fb").distinct()
-        scored = near.withColumn("score", similarity(F.col("fa"), F.col("fb"), "ratio")["ratio"])
-        w = Window.partitionBy("token").orderBy(F.desc("score"), "target")
-        top = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("token", "target", F.concat(F.lit(kind), F.lpad(F.col("_r").cast("string"), 3, "0")).alias("order"))
+        a = staged(words.select("token", form(F.col("token")).alias("form")), "words")
+        b = staged(clean.select("target", form(F.col("target")).alias("other")), "targets")
+        top = mining.nearest(a, b, most).select("token", "target", F.concat(F.lit(kind), F.lpad(F.col("rank").cast("string"), 3, "0")).alias("order"))
         out = top if out is None else out.unionByName(top)
     first = out.groupBy("token", "target").agg(F.min("order").alias("order"))
     return first.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "target"))), lambda x: x["target"]).alias("candidates")).withColumn("candidates", F.slice("candidates", 1, most_in_all))

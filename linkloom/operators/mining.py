@@ -103,8 +103,8 @@ def _letters(word: Column) -> Column:
 
 
 def alike(words: DataFrame, targets: DataFrame, least: float) -> DataFrame:
-    """(token, target, form, other) of words (token, form) and targets (target, other) whose forms share a character 3-gram
-    and can be alike at a ratio of ``least`` or more (from 0 to 1); no such pair is left out, and tokens are no targets of their own.
+    """(form, other) of different or equal ``form`` of words and ``other`` of targets that share a character 3-gram
+    and can be alike at a ratio of ``least`` or more (from 0 to 1); no such pair is left out.
 
     Each bit of the letters that only one form has is a letter to remove, so pairs are dropped where they are joined,
     before anything is shuffled or scored. Frequent grams are spread over salts.
@@ -112,13 +112,13 @@ def alike(words: DataFrame, targets: DataFrame, least: float) -> DataFrame:
     from .blocking import char_grams
 
     salts = 16
-    side = lambda df, k, c: df.select(k, c, F.length(c).alias(f"{c}_n"), _letters(F.col(c)).alias(f"{c}_m"), F.explode(F.array_distinct(char_grams(F.col(c), (3,)))).alias("gram"))
-    w = side(words, "token", "form").withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(salts)).cast("int"))
-    t = side(targets, "target", "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    both = w.join(t.hint("merge"), ["gram", "salt"]).filter("token <> target")
+    side = lambda df, c: df.select(c, F.length(c).alias(f"{c}_n"), _letters(F.col(c)).alias(f"{c}_m"), F.explode(F.array_distinct(char_grams(F.col(c), (3,)))).alias("gram"))
+    w = side(words, "form").withColumn("salt", F.pmod(F.xxhash64("form"), F.lit(salts)).cast("int"))
+    t = side(targets, "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = w.join(t.hint("merge"), ["gram", "salt"])
     if least > 0:
         both = both.filter(F.bit_count(F.col("form_m").bitwiseXOR(F.col("other_m"))) <= (F.col("form_n") + F.col("other_n")) * (1 - least) + 1e-6)
-    return both.select("token", "target", "form", "other").distinct()
+    return both.select("form", "other").distinct()
 
 
 def similar_words(vocab: DataFrame, cutoff: float = 85, top: int = 5) -> DataFrame:
@@ -126,34 +126,43 @@ def similar_words(vocab: DataFrame, cutoff: float = 85, top: int = 5) -> DataFra
     from ..functions.udf import similarity
 
     words = staged(vocab.select("token"), "words")
-    near = alike(words.withColumn("form", F.col("token")), words.select(F.col("token").alias("target"), F.col("token").alias("other")), cutoff / 100)
-    scored = near.select("token", "other", (similarity(F.col("form"), F.col("other"), "ratio")["ratio"] * 100).alias("score")).filter(F.col("score") >= cutoff)
+    near = alike(words.withColumnRenamed("token", "form"), words.withColumnRenamed("token", "other"), cutoff / 100).filter("form <> other").withColumnRenamed("form", "token")
+    scored = near.withColumn("score", similarity(F.col("token"), F.col("other"), "ratio")["ratio"] * 100).filter(F.col("score") >= cutoff)
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "other"))).filter(F.col("_r") <= top).drop("_r")
 
 
 #: The ratios from which ``nearest`` looks for targets, one after the other; the last leaves none out.
-NEARNESS = (0.75, 0.6, 0.0)
+NEARNESS = (0.9, 0.8, 0.7, 0.55, 0.0)
 
 
 def nearest(words: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """(token, target, rank): for each of words (token, form) the ``most`` targets (target, other) most similar by ratio among those that
     share a 3-gram, ties to the smaller target.
 
-    A word with ``most`` targets at one ratio or more has its best among them; only the others go on to the next, lower ratio.
+    Distinct forms are compared, once for all words that have them, each with its ``most`` + 1 smallest targets (a word is no target of
+    its own). A form with ``most`` + 1 targets at one ratio or more has its best among them; only the others go on to the next, lower ratio.
     """
     from ..functions.udf import similarity
 
+    by = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    spelled = staged(targets.withColumn("_r", by("other", F.asc("target"))).filter(F.col("_r") <= most + 1).select("other", "target"), "spelled")
+    forms = staged(words.select("form").distinct(), "forms")
+    others = staged(spelled.select("other").distinct(), "others")
     out = None
     for least in NEARNESS:
-        scored = alike(words, targets, least).select("token", "target", similarity(F.col("form"), F.col("other"), "ratio")["ratio"].alias("score")).filter(F.col("score") >= least)
-        w = Window.partitionBy("token").orderBy(F.desc("score"), "target")
-        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("token", "target", "rank")
+        near = alike(forms.select("form"), others, least)
+        scored = near.withColumn("score", similarity(F.col("form"), F.col("other"), "ratio")["ratio"]).filter(F.col("score") >= least)
+        # forms of the same score may hand in targets in any order, so the last score that counts comes whole
+        w = Window.partitionBy("form").orderBy(F.desc("score"))
+        few = scored.withColumn("_d", F.rank().over(w)).filter(F.col("_d") <= most + 1)
+        best = few.join(spelled.hint("merge"), "other").withColumn("_r", by("form", F.desc("score"), F.asc("target"))).filter(F.col("_r") <= most + 1).select("form", "target", "score", "_r")
         if least > 0:
             best = staged(best, "nearest")
-            full = best.filter(F.col("rank") == most).select("token")
-            best, words = best.join(full, "token", "left_semi"), staged(words.join(full, "token", "left_anti"), "words")
+            full = best.filter(F.col("_r") == most + 1).select("form")
+            best, forms = best.join(full, "form", "left_semi"), staged(forms.join(full, "form", "left_anti"), "forms")
         out = best if out is None else out.unionByName(best)
-    return out
+    ranked = words.join(out.hint("merge"), "form").filter("token <> target").withColumn("rank", by("token", F.desc("score"), F.asc("target")))
+    return ranked.filter(F.col("rank") <= most).select("token", "target", "rank")
 
 
 def script_audit(rows: DataFrame, text: str, *keys: str) -> DataFrame:
