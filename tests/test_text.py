@@ -73,3 +73,9 @@ def test_pairs(spark):
     assert one(spark, X.is_abbreviation, "mfg", "manufacturing") and not one(spark, X.is_abbreviation, "x", "x")
     assert one(spark, X.same_if_known, "", "1") is None and one(spark, X.same_if_known, "1", "1") == 1.0
     assert one(spark, lambda a, b: X.jaccard(X.numbers(a), X.numbers(b)), "a", "b") is None
+
+
+def test_tokens_evaluate_their_text_once(spark):
+    """Each mention of a normalised text would run the whole normaliser again."""
+    plan = spark.range(1).select(X.tokens(F.upper(F.col("id").cast("string"))).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
