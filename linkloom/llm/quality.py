@@ -13,6 +13,7 @@ row; other columns of the input are never looked at.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import bounded, unit
+from .runtime import bounded, released, unit
 
 BITS = 16
 #: The bound of the labelled sample, in rows, and in bytes of each text that may be in it.
@@ -179,11 +180,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         return None
     share = min(1.0, sample / total)
     few = known.filter(unit(F.col("doc_id")) < share).groupBy("doc_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y")).orderBy("doc_id").toArrow()
-    y = np.array(rows.column("_y").to_pylist(), float)
-    if len(set(y > 0)) < 2:
-        return None
-    return Classifier.fit(rows.column("text").to_pylist(), (y > 0).astype(float))
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
+
+    def fit(batches):
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        good = np.array(y, float) > 0
+        model = Classifier.fit(texts, good.astype(float)) if len(set(good)) == 2 else None
+        del texts, y
+        released()
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task takes the bounded sample, so that neither its texts nor their n-grams fill the driver
+    found = bounded(rows.coalesce(1).sortWithinPartitions("doc_id").select("text", "_y")).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else None
 
 
 def _verdict(b: K.Block, model: Classifier | None, least: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:

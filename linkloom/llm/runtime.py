@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -89,6 +92,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def released() -> None:
+    """Give freed memory of this process back, where the C library can: workers and the driver live on after a large step."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A key is hot when it has this share of the rows at least, so there are at
 #: most 1 / HOT_SHARE hot keys: the proven bound of what is collected and broadcast.
 HOT_SHARE = 1e-3
