@@ -173,20 +173,35 @@ def script_audit(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over ``edges`` (a, b), by label propagation with staged rounds.
+    """(node, component): the least node reachable over ``edges`` (a, b), by contraction with staged rounds.
 
-    A label's own label is followed in each round, so chains halve; rounds go on until no label moves.
+    Each round points every node to the least of itself and its neighbours, follows these pointers by doubling to their ends, and
+    replaces edges by those of the ends. An end that has taken in no other is beside a smaller one then and goes in the next round, so
+    two rounds halve the nodes at least: chains of any length and order take a logarithm of rounds.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = staged(labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), (F.col("m") < F.col("component")).alias("moved")), "moved")
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = staged(new.join(jump, "component", "left").select("node", F.least("component", "up").alias("component"), F.coalesce("moved", F.lit(False)).alias("moved")), "labels")
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+    nodes = staged(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "nodes")
+    pairs = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, rounds = staged(pairs(edges), "edges"), []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "ends")
+        while True:
+            further = ends.select(F.col("a").alias("to"), F.col("to").alias("end"))
+            moved = staged(ends.join(further.hint("merge"), "to").select("a", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), "ends")
+            ends = moved.select("a", "to")
+            if moved.filter("moved").isEmpty():
+                break
+        rounds.append(ends)
+        heads = left.join(ends.hint("merge"), "a").select(F.col("to").alias("a"), "b")
+        tails = heads.join(ends.select(F.col("a").alias("b"), "to").hint("merge"), "b").select("a", F.col("to").alias("b"))
+        left = staged(pairs(tails), "edges")
+    if not rounds:
+        return nodes.withColumn("component", F.col("node"))
+    found = rounds.pop()
+    while rounds:  # the maps one after the other, the smallest first
+        last = found.select(F.col("a").alias("to"), F.col("to").alias("end"))
+        found = staged(rounds.pop().join(last.hint("merge"), "to", "left").select("a", F.coalesce("end", "to").alias("to")), "labels")
+    return nodes.join(found.hint("merge"), nodes["node"] == found["a"], "left").select("node", F.coalesce("to", "node").alias("component"))
 
 
 def synonyms(edges: DataFrame, counts: DataFrame, most: int = 12) -> DataFrame:

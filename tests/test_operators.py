@@ -56,6 +56,24 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[101] == 100
 
 
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Words stand in a chain in any order, as w9, w10 do: a label that moves by one word a round takes hundreds of rounds."""
+    tables = []
+
+    def counted(df, name, made=mining.staged):
+        tables.append(name)
+        assert len(tables) <= 60, "too many rounds"
+        return made(df, name)
+
+    monkeypatch.setattr(mining, "staged", counted)
+    chain = [f"w{i * 389 % 1009}" for i in range(1009)]
+    edges = list(zip(chain, chain[1:], strict=False)) + [("x", "x"), ("y", "z"), ("z", "y"), ("v", None)] + [("star", f"s{i}") for i in range(20)]
+    got = [tuple(r) for r in mining.components(spark.createDataFrame(edges, "a string, b string")).collect()]
+    want = dict.fromkeys(chain, "w0") | {"x": "x", "y": "y", "z": "y", "v": "v", None: None, "star": "s0"} | {f"s{i}": "s0" for i in range(20)}
+    assert len(got) == len(want) and dict(got) == want
+    assert mining.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_char_grams(spark):
     g = spark.createDataFrame([("ab c",)], "t string").select(blocking.char_grams(F.col("t")).alias("g")).first().g
     assert sorted(g) == sorted([" ab", "ab ", " ab ", " c "])
