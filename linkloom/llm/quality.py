@@ -13,9 +13,9 @@ row; other columns of the input are never looked at.
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -129,21 +129,26 @@ class Classifier:
         width, parts = _FAMILIES << BITS, []
         for first, b in K.blocks(texts):  # each block's own sparse rows, in 12 bytes an entry
             base_counts(b)
-            keys, count = [], np.zeros((_FAMILIES, b.n), np.int64)
-            for f, bucket, bounds in ngram_buckets(b):
-                of = np.repeat(np.arange(b.n), np.diff(bounds))
-                keys.append((of.astype(np.int64) << 20) | (bucket + (f << BITS)))
-                count[f] += np.diff(bounds)
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            row, col = (key >> 20).astype(np.int32), (key & ((1 << 20) - 1)).astype(np.int32)
-            parts.append((slice(first, first + b.n), row, col, (n / np.maximum(1, count[col >> BITS, row])).astype(np.float32)))
+            for f, family in groupby(ngram_buckets(b), lambda x: x[0]):  # families come in order, one at a time is sorted
+                keys, count = [], np.zeros(b.n, np.int64)
+                for _, bucket, bounds in family:
+                    of = np.repeat(np.arange(b.n, dtype=np.int32), np.diff(bounds))
+                    keys.append((of.astype(np.int64) << BITS) | bucket)
+                    count += np.diff(bounds)
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                row, col = (key >> BITS).astype(np.int32), ((key & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32)
+                parts.append((slice(first, first + b.n), row, col, (n / np.maximum(1, count[row])).astype(np.float32)))
+                del keys, key, n
         fit = np.arange(len(texts)) % 5 != 0
         share = np.where(y > 0, 0.5 / max(1, (y[fit] > 0).sum()), 0.5 / max(1, (y[fit] <= 0).sum())) * fit
         w, bias = np.zeros(width), 0.0
         m, v = np.zeros(width), np.zeros(width)
 
         def linear() -> np.ndarray:
-            return np.concatenate([np.bincount(row, val * w[col], at.stop - at.start) for at, row, col, val in parts]) + bias
+            z = np.zeros(len(texts))
+            for at, row, col, val in parts:
+                z[at] += np.bincount(row, val * w[col], at.stop - at.start)
+            return z + bias
 
         for k in range(1, rounds + 1):
             e = (1 / (1 + np.exp(-np.clip(linear(), -30, 30))) - y) * share
@@ -182,21 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     few = known.filter(unit(F.col("doc_id")) < share).groupBy("doc_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
 
-    def fit(batches):
-        texts, y = [], []
-        for batch in batches:
-            texts += batch.column(0).to_pylist()
-            y += batch.column(1).to_pylist()
-        good = np.array(y, float) > 0
-        model = Classifier.fit(texts, good.astype(float)) if len(set(good)) == 2 else None
-        del texts, y
-        released()
-        if model is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    # one task takes the bounded sample, so that neither its texts nor their n-grams fill the driver
-    found = bounded(rows.coalesce(1).sortWithinPartitions("doc_id").select("text", "_y")).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(bytes(found[0].model)) if found else None
+    # the bounded sample is one task's; executors have no room for its training beside their stages, so the driver trains
+    rows = rows.coalesce(1).sortWithinPartitions("doc_id").select("text", "_y").toArrow()
+    y = np.array(rows.column("_y").to_pylist(), float) > 0
+    texts = rows.column("text").to_pylist()
+    del rows
+    model = Classifier.fit(texts, y.astype(float)) if len(set(y)) == 2 else None
+    del texts
+    released()
+    return model
 
 
 def _verdict(b: K.Block, model: Classifier | None, least: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,10 @@
 """Sharding, quality, search, language, substrings, secrets, and the pipeline."""
 
 import collections
+import functools
 import hashlib
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -91,18 +93,21 @@ def test_classifier_tells_held_out_texts_apart(spark):
     assert kept.columns == [f.name for f in corpus.DOCS] and {r.doc_id for r in kept.collect()} >= {r.doc_id for r in rows if r.kept}
 
 
-def test_the_classifier_is_trained_away_from_the_driver(spark, monkeypatch):
-    """Texts and n-grams of the sample would stay in the driver's memory for all later stages; the model is the same."""
-    texts = [" ".join(corpus.words(60, i)) for i in range(40)] + ["%%% ".join(corpus.words(60, i)) for i in range(40, 80)]
-    want = quality.Classifier.fit(texts, np.array([1.0] * 40 + [0.0] * 40))
+def test_training_is_small_and_gives_its_memory_back(spark, monkeypatch):
+    """What the driver's Python keeps from training, it keeps for all later stages."""
+    texts = [" ".join(corpus.words(3000, i)) for i in range(40)] + ["%%% ".join(corpus.words(3000, i)) for i in range(40, 80)]
+    y = np.array([1.0] * 40 + [0.0] * 40)
+    tracemalloc.start()
+    want = quality.Classifier.fit(texts, y, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(map(len, texts))
+    calls = []
+    monkeypatch.setattr(quality, "released", lambda: calls.append(1), raising=False)
+    monkeypatch.setattr(quality.Classifier, "fit", functools.partial(quality.Classifier.fit, rounds=3))
     labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")
-
-    def in_the_driver(*_, **__):
-        raise AssertionError("trained in the driver")
-
-    monkeypatch.setattr(quality.Classifier, "fit", in_the_driver)
     got = quality.train(corpus.table(spark, texts), labels)
-    assert (got.weights == want.weights).all() and (got.bias, got.slope, got.offset) == (want.bias, want.slope, want.offset)
+    assert calls and (got.weights == want.weights).all() and (got.bias, got.slope, got.offset) == (want.bias, want.slope, want.offset)
     assert quality.train(corpus.table(spark, texts), labels.filter("quality = 1")) is None
 
 
