@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.stage import staged
 
 VIEWS = {"name": 20, "core": 10, "text": 40}
 MIN_SIM = 0.015
@@ -49,10 +50,14 @@ def term_counts(rows: DataFrame, terms: Column, *keys: str) -> DataFrame:
     return rows.select(*keys, F.explode(terms).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
 
 
-def fitted(pool: DataFrame, min_df: int = 2, max_df: float | None = 0.01, max_df_floor: int = 50) -> DataFrame:
-    """(grp, gram, idf) over the pool's counts (grp, id, gram, tf): grams in at least min_df and at most max(ceil(max_df * n), floor) of the group's n records."""
-    sizes = pool.groupBy("grp").agg(F.countDistinct("id").alias("n"))
-    df = pool.groupBy("grp", "gram").agg(F.count("*").alias("df"))
+def fitted(pool: DataFrame, min_df: int = 2, max_df: float | None = 0.01, max_df_floor: int = 50, copies: bool = False) -> DataFrame:
+    """(grp, gram, idf) over the pool's counts (grp, id, gram, tf): grams in at least min_df and at most max(ceil(max_df * n), floor) of the group's n records.
+
+    Without ``max_df`` all grams. With ``copies`` the pool has a column n, the number of records that each id stands for.
+    """
+    n = F.sum("n") if copies else F.count("*")
+    sizes = pool.select("grp", "id", *["n"] * copies).distinct().groupBy("grp").agg(n.alias("n"))
+    df = pool.groupBy("grp", "gram").agg(n.alias("df"))
     kept = df.join(F.broadcast(sizes), "grp")  # groups are few
     if max_df is not None:
         kept = kept.filter((F.col("df") >= min_df) & (F.col("df") <= F.greatest(F.ceil(F.col("n") * max_df), F.lit(max_df_floor))))
@@ -103,6 +108,30 @@ def top_k(q: DataFrame, d: DataFrame, k: int, min_sim: float = MIN_SIM) -> DataF
     return sims.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("sim") >= min_sim)).select("s1_id", "s23_id", "sim")
 
 
+def _by_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, texts) of rows (id, grp, name), and (texts, first, n): the smallest of the ids with the same texts in the same groups, and their number."""
+    ids = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("grp", "name"))).alias("texts"))
+    return ids, ids.groupBy("texts").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+
+
+def top_k_of_all(s1: DataFrame, s23: DataFrame, k: int, min_sim: float = MIN_SIM) -> DataFrame:
+    """(s1_id, s23_id, sim): ``top_k`` of rows (id, grp, name) over all their grams, however frequent or rare.
+
+    Ids with the same texts have the same vector and the same neighbours, so each text's vector is made and compared once, in the
+    name of its smallest id. A text beyond the first k (by similarity, then by that id) has no id among the k most similar, nor has one beyond
+    a text's k smallest ids; the others come back in the end.
+    """
+    (a, texts_a), (b, texts_b) = _by_texts(s1), _by_texts(s23)
+    counted = lambda texts: term_counts(texts.select(F.col("first").alias("id"), "n", F.inline("texts")).select("grp", "id", "n", char_grams(F.col("name")).alias("terms")), F.col("terms"), "grp", "id", "n")
+    pool = staged(counted(texts_b), "pool")
+    idf = fitted(pool, 1, None, copies=True)
+    best = top_k(weighted(counted(texts_a), idf), weighted(pool, idf), k, min_sim).withColumnsRenamed({"s1_id": "first", "s23_id": "other"})
+    by = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    few = b.withColumn("_r", by("texts", "id")).filter(F.col("_r") <= k).join(texts_b.hint("merge"), "texts").select(F.col("first").alias("other"), F.col("id").alias("s23_id"))
+    found = best.join(few.hint("merge"), "other").withColumn("_r", by("first", F.desc("sim"), "s23_id")).filter(F.col("_r") <= k).select("first", "s23_id", "sim")
+    return a.join(texts_a.hint("merge"), "texts").select(F.col("id").alias("s1_id"), "first").join(found.hint("merge"), "first").select("s1_id", "s23_id", "sim")
+
+
 def similarity_join(s1: DataFrame, s23: DataFrame, text: Column, k: int, groups=None, max_df: float | None = 0.01, max_df_floor: int = 50, min_df: int = 2, min_sim: float = MIN_SIM) -> DataFrame:
     """Blocking by one view of prepared tables: fit on ``s23`` of each group, then ``top_k``."""
     one, two = groups or block_groups(s1, s23)

@@ -154,3 +154,51 @@ def test_nearest_words_are_those_of_all_pairs(spark):
     assert got == {p for p, r in pairs_.items() if r >= 70}
     plan = mining.alike(words, words.toDF("target", "other"), 0.85)._jdf.queryExecution().executedPlan().toString()
     assert "bit_count" in plan  # unlike pairs go where they are joined
+
+
+def test_search_over_all_grams_is_that_of_all_pairs(spark):
+    """Words of every record count, as do grams of one record; copies, ids with two texts and ties come as without shared vectors."""
+    import math
+    from collections import Counter
+
+    names = ["red ring", "ring red", "red ring zq", "red bolt", "old bolt", "old ring red red"]
+    a = [(f"S1-{i}", "g" if i % 7 else "h", names[i % 6]) for i in range(140)] + [("S1-1", "h", "old bolt"), ("S1-1", "g", "red"), ("S1-x", "g", " "), ("S1-y", "g", "qqqq")]
+    b = [(f"S2-{i}", "g" if i % 5 else "h", names[i * i % 5]) for i in range(140)] + [("S2-z", "g", "red ring zq xv"), ("S2-4", "h", "ring")]
+    grams = lambda t: [f" {w} "[i : i + k] for w in t.split() for k in (3, 4) for i in range(max(1, len(w) + 3 - k)) if k == 3 or len(w) > 1]
+
+    def counts(rows):
+        out = {}
+        for i, g, t in rows:
+            out.setdefault((g, i), Counter()).update(grams(t))
+        return {k: v for k, v in out.items() if v}
+
+    pool = counts(b)
+    n, df = Counter(g for g, _ in pool), Counter((g, x) for (g, _), v in pool.items() for x in v)
+
+    def vector(g, tf):
+        x = {t: (1 + math.log(c)) * (math.log((1 + n[g]) / (1 + df[g, t])) + 1) for t, c in tf.items() if (g, t) in df}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {t: v / size for t, v in x.items()}
+
+    one, two = ({k: vector(k[0], v) for k, v in c.items()} for c in (counts(a), pool))
+    sims = Counter()
+    for (g, i), x in one.items():
+        for (h, j), y in two.items():
+            if g == h and x.keys() & y.keys():
+                sims[i, j] += sum(x[t] * y[t] for t in x.keys() & y.keys())
+    for k in (1, 3, 40):
+        want = {(i, j, s) for q in {i for i, _ in sims} for s, j, i in sorted(((-round(s, 6), j, i) for (i, j), s in sims.items() if i == q))[:k] if -s >= blocking.MIN_SIM}
+        sides = (spark.createDataFrame(rows, "id string, grp string, name string") for rows in (a, b))
+        got = {(r.s1_id, r.s23_id): r.sim for r in blocking.top_k_of_all(*sides, k).collect()}
+        assert got.keys() == {(i, j) for i, j, _ in want} and all(abs(got[i, j] + s) < 2e-6 for i, j, s in want)
+
+
+def test_blocking_recall_of_frequent_words(spark, tmp_path):
+    """In groups of more than 50 records with few words every record finds some: a bound on frequent grams left none."""
+    from linkloom.plans import queries
+
+    words = ["red", "old", "hot", "new"]
+    rows = [(i, f"{words[i % 4]} {words[i // 4 % 4]}", "PROMO", "Brand#1", i % 2) for i in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    (r,) = queries.blocking_recall(spark, str(tmp_path)).collect()
+    assert r.total == 400 and r.found > 0
