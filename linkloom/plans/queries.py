@@ -348,18 +348,15 @@ def blocking_recall(spark, sf_dir):
 
 
 @query(
-    _TFIDF + _TOPK + """, near AS (SELECT a.id AS s1_id, b.id AS s23_id, 0.5 AS sim FROM a JOIN b ON a.name = b.name AND a.grp = b.grp)
+    _TFIDF_OF_ALL + _TOPK + """, near AS (SELECT a.id AS s1_id, b.id AS s23_id, 0.5 AS sim FROM a JOIN b ON a.name = b.name AND a.grp = b.grp)
     SELECT coalesce(top.s1_id, near.s1_id) AS s1_id, coalesce(top.s23_id, near.s23_id) AS s23_id, top.sim AS blk_name, CAST(near.sim AS DOUBLE) AS blk_same,
       CAST((top.sim IS NOT NULL) AS INTEGER) + CAST((near.sim IS NOT NULL) AS INTEGER) AS n_blockers
     FROM top FULL JOIN near ON top.s1_id = near.s1_id AND top.s23_id = near.s23_id"""
 )
 def candidates_union(spark, sf_dir):
-    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    a = part.select(F.concat(F.lit("S1-"), k.cast("string")).alias("s1_id"), F.col("p_brand").alias("grp"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("name"))
-    other = F.when(k % 3 == 0, F.concat_ws(" ", "p_type", "p_name")).otherwise(F.concat_ws(" ", F.col("p_name"), F.col("p_size").cast("string")))
-    b = part.select(F.concat(F.lit("S2-"), k.cast("string")).alias("s23_id"), F.col("p_brand").alias("grp"), F.lower(other).alias("name"))
-    near = a.join(b.hint("merge"), ["grp", "name"]).select("s1_id", "s23_id", F.lit(0.5).alias("sim"))
-    return blocking.union_views({"name": tfidf_topk_name(spark, sf_dir), "same": near})
+    a, b = _sides(spark, sf_dir)
+    near = a.withColumnRenamed("id", "s1_id").join(b.withColumnRenamed("id", "s23_id").hint("merge"), ["grp", "name"]).select("s1_id", "s23_id", F.lit(0.5).alias("sim"))
+    return blocking.union_views({"name": blocking.top_k_of_all(a, b, 5), "same": near})
 
 
 @query(

@@ -202,3 +202,14 @@ def test_blocking_recall_of_frequent_words(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     (r,) = queries.blocking_recall(spark, str(tmp_path)).collect()
     assert r.total == 400 and r.found > 0
+
+
+def test_candidates_of_frequent_words(spark, tmp_path):
+    """Each record of a group of few words has its five candidates: a bound on frequent grams left none."""
+    from linkloom.plans import queries
+
+    words = ["red", "old", "hot", "new"]
+    rows = [(i, f"{words[i % 4]} {words[i // 4 % 4]}", "PROMO", "Brand#1", i % 2) for i in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.candidates_union(spark, str(tmp_path)).groupBy("s1_id").count().collect()
+    assert len(found) == 400 and {r["count"] for r in found} == {5}
