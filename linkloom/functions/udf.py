@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import kernels
+from . import kernels, near
 
 SCORES = {
     "tset": kernels.token_set_ratio,
@@ -54,3 +55,20 @@ def best_trade_name(x: pd.Series, y: pd.Series) -> pd.Series:
         scores = [kernels.token_set_ratio(s, t) / 100 for s in p for t in q if s and t] if len(p) > 1 or len(q) > 1 else []
         out.append(max(scores, default=None))
     return pd.Series(out, dtype=float)
+
+
+NEAREST = "form string, other string, first string, score double"
+
+
+def nearest_in_cell(most: int):
+    """Of a table of forms (form) and one of others (other, first) each form's ``most`` most similar by ratio among those that share
+    a 3-gram, ties to the smaller ``first``: what ``applyInArrow`` takes, with the columns of ``NEAREST``."""
+
+    def run(forms: pa.Table, others: pa.Table) -> pa.Table:
+        words = forms.column("form").to_pylist()
+        known = sorted(zip(others.column("first").to_pylist(), others.column("other").to_pylist(), strict=True), key=lambda x: x[0].encode())  # as Spark sorts
+        f, o, score = near.Others([x[1] for x in known]).nearest(words, most)
+        take = lambda values, at: pa.array(values, pa.string()).take(pa.array(at))
+        return pa.table({"form": take(words, f), "other": take([x[1] for x in known], o), "first": take([x[0] for x in known], o), "score": score})
+
+    return run

@@ -131,8 +131,8 @@ def similar_words(vocab: DataFrame, cutoff: float = 85, top: int = 5) -> DataFra
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "other"))).filter(F.col("_r") <= top).drop("_r")
 
 
-#: The ratios from which ``nearest`` looks for targets, one after the other; the last leaves none out.
-NEARNESS = (0.9, 0.8, 0.7, 0.55, 0.0)
+#: Forms and others that are compared in one task at a time.
+FORMS, OTHERS = 16_000, 200_000
 
 
 def nearest(words: DataFrame, targets: DataFrame, most: int) -> DataFrame:
@@ -140,28 +140,27 @@ def nearest(words: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     share a 3-gram, ties to the smaller target.
 
     Distinct forms are compared, once for all words that have them, each with its ``most`` + 1 smallest targets (a word is no target of
-    its own). A form with ``most`` + 1 targets at one ratio or more has its best among them; only the others go on to the next, lower ratio.
+    its own). Forms and others meet in cells of bounded size, each part of the ones with each of the others.
     """
-    from ..functions.udf import similarity
+    from ..functions.udf import NEAREST, nearest_in_cell
 
     by = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
     spelled = staged(targets.withColumn("_r", by("other", F.asc("target"))).filter(F.col("_r") <= most + 1).select("other", "target"), "spelled")
     forms = staged(words.select("form").distinct(), "forms")
-    others = staged(spelled.select("other").distinct(), "others")
-    out = None
-    for least in NEARNESS:
-        near = alike(forms.select("form"), others, least)
-        scored = near.withColumn("score", similarity(F.col("form"), F.col("other"), "ratio")["ratio"]).filter(F.col("score") >= least)
-        # forms of the same score may hand in targets in any order, so the last score that counts comes whole
-        w = Window.partitionBy("form").orderBy(F.desc("score"))
-        few = scored.withColumn("_d", F.rank().over(w)).filter(F.col("_d") <= most + 1)
-        best = few.join(spelled.hint("merge"), "other").withColumn("_r", by("form", F.desc("score"), F.asc("target"))).filter(F.col("_r") <= most + 1).select("form", "target", "score", "_r")
-        if least > 0:
-            best = staged(best, "nearest")
-            full = best.filter(F.col("_r") == most + 1).select("form")
-            best, forms = best.join(full, "form", "left_semi"), staged(forms.join(full, "form", "left_anti"), "forms")
-        out = best if out is None else out.unionByName(best)
-    ranked = words.join(out.hint("merge"), "form").filter("token <> target").withColumn("rank", by("token", F.desc("score"), F.asc("target")))
+    others = staged(spelled.groupBy("other").agg(F.min("target").alias("first")), "others")
+    rows, cols = (max(1, -(-df.count() // n)) for df, n in ((forms, FORMS), (others, OTHERS)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cells = min(2 * rows * cols, 2000)
+    a = forms.select("form", part("form", rows).alias("_a"), each(cols).alias("_b")).select("form", (F.col("_a") * cols + F.col("_b")).alias("cell"))
+    b = others.select("other", "first", part("other", cols).alias("_b"), each(rows).alias("_a")).select("other", "first", (F.col("_a") * cols + F.col("_b")).alias("cell"))
+    # numbered parts: small rows are much work here, so tasks are not to be put together by their bytes
+    in_cell = lambda df: df.repartition(cells, "cell").groupBy("cell")
+    near = in_cell(a).cogroup(in_cell(b)).applyInArrow(nearest_in_cell(most + 1), NEAREST)
+    # a form's other has its best targets if it is among the first by score and its smallest target
+    few = staged(near.withColumn("_r", by("form", F.desc("score"), F.asc("first"))).filter(F.col("_r") <= most + 1).drop("_r"), "nearest")
+    best = few.join(spelled.hint("merge"), "other").withColumn("_r", by("form", F.desc("score"), F.asc("target"))).filter(F.col("_r") <= most + 1).select("form", "target", "score")
+    ranked = words.join(best.hint("merge"), "form").filter("token <> target").withColumn("rank", by("token", F.desc("score"), F.asc("target")))
     return ranked.filter(F.col("rank") <= most).select("token", "target", "rank")
 
 

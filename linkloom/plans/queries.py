@@ -866,8 +866,8 @@ def meaning_requests(spark, sf_dir):
 @query()
 def transliteration_candidates(spark, sf_dir):
     """Words by loan key and by spelling: similar words among those that share a key or a 3-gram."""
-    v = _vocab(spark, sf_dir)
-    return judging.transliterations(v.filter("n >= 3").select("token"), v.filter("n >= 20").select("token"))
+    v = staged(_vocab(spark, sf_dir).filter("n >= 3"), "vocabulary")  # read four times
+    return judging.transliterations(v.select("token"), v.filter("n >= 20").select("token"))
 
 
 @query()

@@ -213,3 +213,28 @@ def test_candidates_of_frequent_words(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     found = queries.candidates_union(spark, str(tmp_path)).groupBy("s1_id").count().collect()
     assert len(found) == 400 and {r["count"] for r in found} == {5}
+
+
+def test_nearest_in_cells_is_that_of_all_pairs(spark, monkeypatch):
+    """Words in several cells, longer than 64 letters, of other scripts and of several parts; the kernel scores what can be near alone."""
+    from linkloom.functions import kernels as K
+    from linkloom.functions import near
+
+    text = "trading traders trade raiding shop shops board hoard aab abab oo zx éclair éclat éclairs क्षेत्र क्षेत् ab1 ab2 a".split() + ["ab" * 40, "ab" * 41, "x" * 64, "x" * 65, "to be", "to bee"]
+    text = sorted(text, key=str.encode)
+    grams = lambda t: {f" {w} "[i : i + 3] for w in t.split() for i in range(len(w))}
+    pairs_ = {(a, b): K.ratio(a, b) / 100 for a in text for b in text if grams(a) & grams(b)}
+    best = {a: sorted((-r, b.encode()) for (x, b), r in pairs_.items() if x == a) for a in text}
+    others = near.Others(text)
+    for most in (1, 4, 40):
+        got = [(text[f], -float(s), text[o].encode()) for f, o, s in zip(*others.nearest(text, most), strict=True)]
+        assert sorted(got) == sorted((a, *x) for a in text for x in best[a][:most])
+    scored = []
+    monkeypatch.setattr(near.Others, "common", lambda self, forms, which, other, real=near.Others.common: scored.extend(other) or real(self, forms, which, other))
+    near.Others([f"zz{i:04d}" for i in range(2000)] + ["trade"]).nearest(["trade"], 1)
+    assert len(scored) == 1
+    monkeypatch.setattr(mining, "FORMS", 5)
+    monkeypatch.setattr(mining, "OTHERS", 7)
+    words = spark.createDataFrame([(w, w) for w in text], "token string, form string")
+    got = {(r.token, r.target, r["rank"]) for r in mining.nearest(words, words.toDF("target", "other"), 3).collect()}
+    assert got == {(a, b.decode(), i + 1) for a in text for i, (_, b) in enumerate([x for x in best[a] if x[1] != a.encode()][:3])}
